@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import load
 from corpusmill.llm.license_scan import scan_licenses
+from corpusmill.llm.packing import pack
 from corpusmill.llm.pii import BASE, KINDS, detect_pii, span_digest
+from corpusmill.llm.quality import score_quality, train_quality
 from corpusmill.llm.topk import top_k
 from corpusmill.llm.url_filter import judge_urls
 
@@ -28,13 +30,24 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, load(spark, sf_dir, "labels")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
     "op3_topk": op3_topk,
+    "op4_quality": op4_quality,
     "op8_url_filter": op8_url_filter,
+    "op10_packing": op10_packing,
 }
