@@ -13,6 +13,7 @@ from corpusmill.llm.packing import pack
 from corpusmill.llm.pii import BASE, KINDS, detect_pii, span_digest
 from corpusmill.llm.quality import score_quality, train_quality
 from corpusmill.llm.topk import top_k
+from corpusmill.llm.toxicity import score_toxicity, train_toxicity
 from corpusmill.llm.url_filter import judge_urls
 
 
@@ -35,6 +36,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, load(spark, sf_dir, "labels")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, load(spark, sf_dir, "labels")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op8_url_filter": op8_url_filter,
     "op10_packing": op10_packing,
 }
