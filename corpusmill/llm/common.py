@@ -77,6 +77,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         low = min(high, n)
 
 
+def golden(k: int) -> np.uint64:
+    """k times GOLDEN, modulo 2^64."""
+    return np.uint64(int(k) * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x.copy()
@@ -150,7 +155,7 @@ def grams(words: np.ndarray, n: int, seed: int = 2) -> np.ndarray:
     out = words[:m] * factors[0]
     for k in range(1, n):
         out += words[k : k + m] * factors[k]
-    return mixed(out + np.uint64(n) * GOLDEN)
+    return mixed(out + golden(n))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

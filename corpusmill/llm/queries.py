@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import load
 from corpusmill.llm.license_scan import scan_licenses
+from corpusmill.llm.near_dup import near_duplicates
 from corpusmill.llm.packing import pack
 from corpusmill.llm.pii import BASE, KINDS, detect_pii, span_digest
 from corpusmill.llm.quality import score_quality, train_quality
@@ -45,6 +46,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"))
 
@@ -56,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
     "op8_url_filter": op8_url_filter,
+    "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
 }

@@ -55,7 +55,20 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         at = inside - 1 + k
         own = (at >= 0) & (at < length)
         sums += values[k][np.where(own, data[np.minimum(begin + np.maximum(at, 0), max(len(data) - 1, 0))], 256)] if total else 0
-    return Words((words >> np.uint64(50)).astype(np.int64) % WORD_BUCKETS, (mixed(sums) >> np.uint64(49)).astype(np.int64) % CHAR_BUCKETS, gram_at, first)
+    return Words((words >> np.uint64(48)).astype(np.uint16) % WORD_BUCKETS, (mixed(sums) >> np.uint64(48)).astype(np.uint16) % CHAR_BUCKETS, gram_at, first)
+
+
+def read_slices(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """read_words() in slices, so that only its short result is held for all texts."""
+    parts = [read_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, SCORE_BYTES)]
+    grams, words = np.cumsum([0, *(len(p.grams) for p in parts)]), np.cumsum([0, *(len(p.bucket) for p in parts)])
+    empty = np.zeros(0, np.uint16)
+    return Words(
+        np.concatenate([empty, *(p.bucket for p in parts)]),
+        np.concatenate([empty, *(p.grams for p in parts)]),
+        np.concatenate([np.zeros(0, np.int64), *(p.gram_at + g for p, g in zip(parts, grams, strict=False))]),
+        np.concatenate([*(p.first[:-1] + n for p, n in zip(parts, words, strict=False)), words[-1:]]).astype(np.int64),
+    )
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +225,7 @@ def fit(w: Words, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Ne
     logits = rng.normal(0, 1, len(text))
     for k in range(rounds):
         if k:
-            x = model.inputs(w)
-            logits = np.concatenate([model.forward(x, at[a : a + 8192])[0] for a in range(0, len(at), 8192)])
+            logits = np.concatenate([_window_logits(model, w, at[a : a + 4096]) for a in range(0, len(at), 4096)])
         order = np.lexsort((-logits, text))
         place = np.empty(len(order), int)
         place[order] = np.arange(len(order)) - np.searchsorted(text, text[order])
@@ -242,12 +254,17 @@ def _pick(w: Words, at: np.ndarray) -> tuple[Words, np.ndarray]:
     return Words(w.bucket[used], grams, begin, np.array([0, len(used)])), own
 
 
+def _window_logits(model: Network, w: Words, at: np.ndarray) -> np.ndarray:
+    part, own = _pick(w, at)
+    return model.forward(model.inputs(part), own)[0]
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, toxic_limit: int = MAX_TOXIC) -> Network:
     """Learns on the driver from whole texts of at most limit documents, of them at most toxic_limit toxic ones."""
     rows = training_texts(docs, labels, "toxic", limit, toxic_limit).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     data, offsets = text_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
-    return fit(read_words(data, offsets), np.array([r["label"] for r in rows], int))
+    return fit(read_slices(data, offsets), np.array([r["label"] for r in rows], int))
 
 
 def _scores(model: Network, texts: pa.Array) -> np.ndarray:
