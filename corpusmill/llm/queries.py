@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import load
+from corpusmill.llm.decontam import contaminated
 from corpusmill.llm.license_scan import scan_licenses
 from corpusmill.llm.near_dup import near_duplicates
 from corpusmill.llm.packing import pack
@@ -37,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, load(spark, sf_dir, "labels")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, load(spark, sf_dir, "labels")))
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
+    "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_near_dup": op9_near_dup,
