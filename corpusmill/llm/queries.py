@@ -14,6 +14,7 @@ from corpusmill.llm.near_dup import near_duplicates
 from corpusmill.llm.packing import pack
 from corpusmill.llm.pii import BASE, KINDS, detect_pii, span_digest
 from corpusmill.llm.quality import score_quality, train_quality
+from corpusmill.llm.substring import remove_repeats
 from corpusmill.llm.topk import top_k
 from corpusmill.llm.toxicity import score_toxicity, train_toxicity
 from corpusmill.llm.url_filter import judge_urls
@@ -47,6 +48,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, load(spark, sf_dir, "labels")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_near_dup": op9_near_dup,
     "op10_packing": op10_packing,
