@@ -19,7 +19,7 @@ from corpusmill.llm.labelled import training_texts
 
 #: Words of a window and from one to the next; state size; widths of the word and character inputs; their hash buckets.
 WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 18, 8, 6, 10
-WORD_BUCKETS, CHAR_BUCKETS, GRAM = 1 << 14, 1 << 15, 4
+WORD_BUCKETS, CHAR_BUCKETS, GRAM = 1 << 16, 1 << 16, 4
 #: Labelled documents to learn from at most, and of them toxic ones; rounds of choosing windows and batches in each.
 MAX_TRAINING, MAX_TOXIC, ROUNDS, BATCHES, BATCH = 3_000, 1_000, 10, 24, 256
 THRESHOLD = 0.5
@@ -55,7 +55,7 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         at = inside - 1 + k
         own = (at >= 0) & (at < length)
         sums += values[k][np.where(own, data[np.minimum(begin + np.maximum(at, 0), max(len(data) - 1, 0))], 256)] if total else 0
-    return Words((words >> np.uint64(48)).astype(np.uint16) % WORD_BUCKETS, (mixed(sums) >> np.uint64(48)).astype(np.uint16) % CHAR_BUCKETS, gram_at, first)
+    return Words((words >> np.uint64(48)).astype(np.uint16) & np.uint16(WORD_BUCKETS - 1), (mixed(sums) >> np.uint64(48)).astype(np.uint16) & np.uint16(CHAR_BUCKETS - 1), gram_at, first)
 
 
 def read_slices(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -92,8 +92,8 @@ class Network:
         rng, h, d = np.random.default_rng(seed), HIDDEN, WORD_DIM + CHAR_DIM
         real = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
         self.p = {
-            "word": real(WORD_BUCKETS, WORD_DIM, scale=0.1),
-            "char": real(CHAR_BUCKETS, CHAR_DIM, scale=0.3),
+            "word": real(WORD_BUCKETS, WORD_DIM, scale=0.01),
+            "char": real(CHAR_BUCKETS, CHAR_DIM, scale=0.01),
             "w": real(2, d, 3 * h, scale=d**-0.5),
             "b": np.zeros((2, 1, 3 * h), np.float32),
             "u": real(2, h, 3 * h, scale=h**-0.5),
@@ -209,7 +209,8 @@ def score_words(model: Network, w: Words) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def fit(w: Words, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Network:
-    """Learns from labels of whole texts: of a toxic text the windows that now look worst, of others any and the worst.
+    """Learns from labels of whole texts: of a toxic text the windows that now look worst, of others any and the
+    worst, and clean words repeated.
 
     With one label only, or no texts, every score is the smoothed share of label 1.
     """
@@ -236,9 +237,12 @@ def fit(w: Words, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Ne
         hard = hard[np.argsort(-logits[hard])][: BATCHES * BATCH // 8]
         clean = np.flatnonzero(~toxic)
         for _ in range(BATCHES):
-            half = BATCH // 2
-            rows = np.concatenate([rng.choice(positive, half), rng.choice(clean, half - half // 2), rng.choice(hard, half // 2)])
-            part, own = _pick(w, at[rows])
+            half, eighth = BATCH // 2, BATCH // 8
+            rows = np.concatenate([rng.choice(positive, half), rng.choice(clean, half - 2 * eighth), rng.choice(hard, eighth)])
+            # Windows of one or two clean words over and over: repetition alone is no sign of toxicity.
+            one, other = at[rng.choice(clean, eighth), :2].T
+            repeated = np.where(np.arange(WINDOW) % 2 == 0, one[:, None], np.where((rng.random(eighth) < 0.5) | (other < 0), one, other)[:, None])
+            part, own = _pick(w, np.concatenate([at[rows], repeated]))
             model.learn(part, model.inputs(part), own, np.repeat([1.0, 0.0], half).astype(np.float32), 0.01 if k < rounds * 2 // 3 else 0.003)
     return model
 
