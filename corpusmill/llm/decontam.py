@@ -204,17 +204,20 @@ def contains_item(text: Column, benchmark: DataFrame, max_share: float = MAX_SHA
     """Whether the text contains any item, as a Column, for filters that keep all other columns."""
     out = F.lit(False)
     for matcher in matchers(benchmark, max_share):
+        out = out | _hits(matcher)(text)
+    return out
 
-        @F.pandas_udf("boolean")
-        def hit(texts, matcher=matcher):
-            import pandas as pd
 
-            found = np.zeros(len(texts), bool)
-            found[[row[0] for row in matcher.find(pa.array(texts.tolist(), pa.large_string(), from_pandas=True))]] = True
-            return pd.Series(found)
+def _hits(matcher: Matcher):
+    @F.pandas_udf("boolean")
+    def hit(texts):
+        import pandas as pd
 
-        out = out | hit(text)
-    return out
+        found = np.zeros(len(texts), bool)
+        found[[row[0] for row in matcher.find(pa.array(texts.tolist(), pa.large_string(), from_pandas=True))]] = True
+        return pd.Series(found)
+
+    return hit
 
 
 def recall_of(share: float, n: int = 34, trials: int = 400, seed: int = 0) -> float:
