@@ -26,14 +26,14 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PRETOKEN), F.lit(0))
 
 
-@F.pandas_udf("string")
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
-
-
 def nfc(text: Column) -> Column:
     """Canonical composition. ASCII text is in it already: only other texts are handed to Python."""
-    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+
+    return F.coalesce(composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def long_enough(text: Column, min_chars: int = MIN_CHARS) -> Column:
