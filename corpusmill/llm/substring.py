@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,18 +21,24 @@ WINDOW, ANCHOR = 13, 5
 FILTER_BITS_EACH, MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 20, 1 << 28
 #: Copies of whole texts whose ids are broadcast to leave them out of the scans, 100 MB at most; more go through the scans.
 BROADCAST_COPIES = 1_000_000
-#: Phrases of one automaton, about 40 bytes for each of their words.
+#: Phrases of one automaton; each takes up to 39 nodes.
 SHARD_PHRASES = 20_000
 _BUCKET = 32_768  # bits of Spark's bitmap buckets
 
 
+@lru_cache(maxsize=1)
+def _hasher() -> WordHasher:
+    """One for each process: its tables of powers are large."""
+    return WordHasher(BLANKS, lower=False, seed=13)
+
+
 def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor and hash of each window of each text, and the window's text.
 
     A window's anchor is the least hash of the runs of ANCHOR words in it: equal windows have equal anchors, and neighbouring
     windows mostly share theirs, so anchors are some five times fewer than windows.
     """
-    words, _, _, first = WordHasher(BLANKS, lower=False, seed=13).hashes(data, offsets)
+    words, _, _, first = _hasher().hashes(data, offsets)
     counts = np.maximum(np.diff(first) - window + 1, 0)
     text = np.repeat(np.arange(len(counts)), counts)
     if not len(text):
@@ -90,31 +97,40 @@ class Filter:
         return out
 
 
-def cover(texts: list[list[bytes]], phrases: list[set[int]], window: int = WINDOW) -> list[np.ndarray]:
-    """For each text, given as words, which words its phrases cover; phrases: where some occurrence of each begins.
+def spelled(numbers: np.ndarray) -> str:
+    """Word numbers below 2^21 as three letters each, of an alphabet of 128 letters for each of the three places.
+
+    An automaton looks through a node's letters one by one: with a letter for each word its root would be as wide as the
+    vocabulary. As each place has its own letters, matches begin and end with words.
+    """
+    places = [(numbers >> 14 & 127) + 0x100, (numbers >> 7 & 127) + 0x180, (numbers & 127) + 0x200]
+    return np.stack(places, axis=1).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def cover(texts: list[np.ndarray], begins: list[np.ndarray], names: list[np.ndarray], window: int = WINDOW) -> list[np.ndarray]:
+    """For each text, given as word numbers, which words its phrases cover.
 
-    The phrases of a shard of texts are compiled to one automaton over word numbers, and every text is streamed through it; of what
-    it finds in a text, the text's own phrases count.
+    begins: where some occurrence of each of a text's phrases begins; names: the phrases' numbers. The phrases of a shard of texts
+    are compiled to one automaton and every text is streamed through it; of what it finds in a text, the text's own phrases count.
     """
-    number: dict[bytes, int] = {}
-    coded = [tuple(number.setdefault(w, len(number)) for w in words) for words in texts]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    own: list[set[int]] = []
-    names: dict[tuple[int, ...], int] = {}
-    for words, begins in zip(coded, phrases, strict=True):
-        own.append({names.setdefault(words[b : b + window], len(names)) for b in begins})
-    for key, name in names.items():
-        automaton.add_word(key, name)
-    out = [np.zeros(len(words), bool) for words in texts]
-    if names:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    known: set[int] = set()
+    spelt = [spelled(words) for words in texts]
+    for letters, places, own in zip(spelt, begins, names, strict=True):
+        for place, name in zip(places.tolist(), own.tolist(), strict=True):
+            if name not in known:
+                known.add(name)
+                automaton.add_word(letters[3 * place : 3 * (place + window)], name)
+    if known:
         automaton.make_automaton()
-        for words, mine, covered in zip(coded, own, out, strict=True):
-            if mine:
-                ends = np.array([end for end, name in automaton.iter(words) if name in mine])
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, ends - window + 1, 1)
-                np.add.at(edge, ends + 1, -1)
-                covered |= np.cumsum(edge[:-1]) > 0
+    out = []
+    for letters, own in zip(spelt, names, strict=True):
+        edge = np.zeros(len(letters) // 3 + 1, np.int64)
+        if len(own):
+            mine = set(own.tolist())
+            ends = np.array([end for end, name in automaton.iter(letters) if name in mine]) // 3
+            edge += np.bincount(ends - window + 1, minlength=len(edge)) - np.bincount(ends + 1, minlength=len(edge))
+        out.append(np.cumsum(edge[:-1]) > 0)
     return out
 
 
@@ -126,33 +142,34 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
-        texts, flags, whole = batch_column(batch, "text"), batch_column(batch, "windows"), batch_column(batch, "whole")
-        data, offsets = text_bytes(texts)
+        flags, whole = batch_column(batch, "windows"), batch_column(batch, "whole").to_numpy(zero_copy_only=False)
+        data, offsets = text_bytes(batch_column(batch, "text"))
         raw = data.tobytes()
-        words, begins, removed = [], [], []
-        waiting: list[int] = []
-
-        def finish(waiting: list[int], words: list, begins: list, removed: list) -> None:
-            for i, covered in zip(waiting, cover([words[i] for i in waiting], [begins[i] for i in waiting]), strict=True):
+        words = [raw[a:b].split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        removed: list[np.ndarray | None] = [np.full(len(own), len(own) >= WINDOW) if w else None for own, w in zip(words, whole, strict=True)]
+        hashes, _, _, first = _hasher().hashes(data, offsets)
+        codes = np.unique(hashes, return_inverse=True)[1]
+        _, windows, text = window_hashes(data, offsets)
+        edges = np.searchsorted(text, np.arange(len(batch) + 1))
+        phrases = np.unique(windows, return_inverse=True)[1]
+        shard: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def finish() -> None:
+            texts = [codes[first[i] : first[i + 1]] for i, _, _ in shard]
+            for (i, _, _), covered in zip(shard, cover(texts, [b for _, b, _ in shard], [n for _, _, n in shard]), strict=True):
                 removed[i] = covered
-
-        phrases = 0
-        for i in range(len(batch)):
-            words.append(raw[offsets[i] : offsets[i + 1]].split())
-            begins.append(set())
-            removed.append(None)
-            if whole[i].as_py():
-                removed[i] = np.full(len(words[i]), len(words[i]) >= WINDOW)
-            elif flags[i].is_valid and len(words[i]) >= WINDOW:
-                _, hashes, _ = window_hashes(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])
-                values, at = np.unique(hashes, return_index=True)
-                begins[i] = set(at[np.isin(values, flags[i].values.to_numpy().view(np.uint64))].tolist())
-                waiting.append(i)
-                phrases += len(begins[i])
-                if phrases >= SHARD_PHRASES:
-                    finish(waiting, words, begins, removed)
-                    waiting, phrases = [], 0
-        finish(waiting, words, begins, removed)
+            shard.clear()
+
+        for i in np.flatnonzero(flags.is_valid().to_numpy(zero_copy_only=False) & ~whole & (np.diff(edges) > 0)):
+            own, names = windows[edges[i] : edges[i + 1]], phrases[edges[i] : edges[i + 1]]
+            hit = np.flatnonzero(np.isin(own, flags[int(i)].values.to_numpy().view(np.uint64)))
+            if not len(hit):
+                continue
+            names, at = np.unique(names[hit], return_index=True)
+            shard.append((int(i), hit[at], names))
+            if sum(len(n) for _, _, n in shard) >= SHARD_PHRASES:
+                finish()
+        finish()
         kept = [b" ".join(own) if gone is None else b" ".join([w for w, g in zip(own, gone.tolist(), strict=True) if not g]) for own, gone in zip(words, removed, strict=True)]
         counts = [pa.array([len(w) for w in words], pa.int64()), pa.array([0 if g is None else int(g.sum()) for g in removed], pa.int64())]
         yield pa.RecordBatch.from_arrays([batch_column(batch, "id"), *counts, pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
