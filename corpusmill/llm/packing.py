@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import batch_column, stored
+from corpusmill.llm.common import batch_column, bounded_batches, stored
 from corpusmill.llm.encoder import encoder
 
 CAPACITY, END_ID = 2048, 1
@@ -87,6 +87,20 @@ def binary_parts(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
+def split_to_powers(pattern: Pattern) -> list[Pattern]:
+    """A pattern of powers of two as patterns whose sums are powers of two; largest first, the parts fill them without a rest."""
+    left, out = dict(pattern.counts), []
+    for size in binary_parts(pattern.total):
+        counts = []
+        for length in sorted(left, reverse=True):
+            take = min(left[length], size // length)
+            if take:
+                counts.append((length, take))
+                left[length], size = left[length] - take, size - length * take
+        out.append(Pattern(tuple(counts), pattern.repeats))
+    return out
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -108,7 +122,7 @@ def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, list[
 
 def cut(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str, ranks: str | None) -> DataFrame:
     """Encodes each text once: id, start, length, crc, parts and doc_tokens of its pieces of capacity tokens and the rest."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    chosen = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, ranks).encode
@@ -127,26 +141,26 @@ def cut(docs: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary:
     return chosen.mapInArrow(run, kind)
 
 
-def _ranges(patterns: list[Pattern], capacity: int, sequence: int, whole: bool) -> tuple[dict[int, dict[str, np.ndarray]], dict[int, int], int]:
+def _ranges(patterns: list[Pattern], capacity: int, sequence: int) -> tuple[dict[int, dict[str, np.ndarray]], dict[int, int], int]:
     """By length and the rank of a piece among those of its length: where its range begins and where it goes.
 
-    A window is filled, or its sum is a power of two, or it stays apart. Pieces that stay apart are numbered in apart_at and
-    counted for each length; where not whole, they become sequences of their own. At last, the next free sequence.
+    A window is filled, or its sum is a power of two, or its pieces stay apart: they are numbered in apart_at and counted for each
+    length. At last, the next free sequence.
     """
     rows: dict[int, list[tuple]] = {}
     used: dict[int, int] = {}
     alone: dict[int, int] = {}
     for p in patterns:
-        apart, offset, slot, slots = p.total < capacity and not power_of_two(p.total), 0, 0, sum(n for _, n in p.counts)
+        apart, offset = p.total < capacity and not power_of_two(p.total), 0
         for length, n in p.counts:
             begin = used.get(length, 0)
-            rows.setdefault(length, []).append((begin, sequence, n, offset, slot, slots, apart, alone.get(length, 0)))
+            rows.setdefault(length, []).append((begin, sequence, n, offset, apart, alone.get(length, 0)))
             used[length] = begin + n * p.repeats
             if apart:
                 alone[length] = alone.get(length, 0) + n * p.repeats
-            offset, slot = offset + n * length, slot + n
-        sequence += p.repeats * (1 if not apart else 0 if whole else slots)
-    names = ("begin", "sequence", "each", "offset", "slot", "slots", "apart", "apart_at")
+            offset += n * length
+        sequence += 0 if apart else p.repeats
+    names = ("begin", "sequence", "each", "offset", "apart", "apart_at")
     return {length: {n: np.array(x, np.int64) for n, x in zip(names, zip(*own, strict=True), strict=True)} for length, own in rows.items()}, alone, sequence
 
 
@@ -154,18 +168,19 @@ class Places:
     """Where each piece goes, by its length and its rank among the pieces of that length.
 
     What windows that stay short hold is cut into powers of two, which are packed again: they fill windows without a rest. Those
-    of the last window, less than capacity tokens in all, are sequences of their own.
+    of the last window, less than capacity tokens in all, are grouped to sums that are powers of two, a sequence for each.
     """
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
-        self.first, alone, n = _ranges(plan(counts, capacity), capacity, 0, whole=True)
+        self.first, alone, n = _ranges(plan(counts, capacity), capacity, 0)
         self.base: dict[tuple[int, int], int] = {}
         sizes: dict[int, int] = {}
         for length, pieces in sorted(alone.items()):
             for size in binary_parts(length):
                 self.base[length, size] = sizes.get(size, 0)
                 sizes[size] = sizes.get(size, 0) + pieces
-        self.second, _, self.sequences = _ranges(plan(sizes, capacity), capacity, n, whole=False)
+        filled = [q for p in plan(sizes, capacity) for q in (split_to_powers(p) if p.total < capacity else [p])]
+        self.second, _, self.sequences = _ranges(filled, capacity, n)
 
     def of_pieces(self, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """sequence, offset, whether the piece stays apart, and its number among those of its length."""
@@ -179,9 +194,7 @@ class Places:
         at, rank = self.second[size], self.base[length, size] + number
         row = np.searchsorted(at["begin"], rank, "right") - 1
         copy, slot = np.divmod(rank - at["begin"][row], at["each"][row])
-        own = at["apart"][row] == 1
-        sequence = at["sequence"][row] + np.where(own, copy * at["slots"][row] + at["slot"][row] + slot, copy)
-        return sequence, np.where(own, 0, at["offset"][row] + slot * size)
+        return at["sequence"][row] + copy, at["offset"][row] + slot * size
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, ranks: str | None = RANKS) -> DataFrame:
@@ -189,7 +202,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     A document is cut into pieces of capacity tokens and a rest. Full pieces are sequences of their own, rests are packed by
     minimum bin slack. What is in a window that stays short and is no power of two is cut into powers of two, which are packed
-    again; the last of these are sequences of their own, so nothing is padded. The plan is made from the number of pieces of each
+    again, the last of these to sums that are powers of two; so nothing is padded. The plan is made from the number of pieces of each
     length, at most capacity numbers.
 
     Null and empty texts have one token, the end's. Repeated rows and null ids are packed each for itself; other columns are not
