@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import BLANKS, WordHasher, batch_column, crc_fold, slices, text_bytes
+from corpusmill.llm.common import BLANKS, WordHasher, batch_column, bounded_batches, crc_fold, slices, text_bytes
 from corpusmill.llm.labelled import training_texts
 
 #: Buckets of hashed words, factors, labelled documents to learn from at most, passes over them.
-BUCKETS, FACTORS, MAX_TRAINING, EPOCHS = 1 << 14, 8, 8_000, 12
+BUCKETS, FACTORS, MAX_TRAINING, EPOCHS = 1 << 14, 8, 8_000, 20
 THRESHOLD = 0.3
+#: Decimals of a score: below them it may depend on what is scored beside it.
+DIGITS = 6
+#: Deviations from the mean that a statistic counts for at most, and the penalty on squared weights of statistics.
+REACH, PENALTY = 2.0, 1e-3
 _MARKS = np.array([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), 0x0A])
-N_STATS = len(_MARKS) + 12
+N_STATS = len(_MARKS) + 13
 
 
 def _distinct(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -38,10 +43,16 @@ class Features:
     first: np.ndarray
 
 
+@lru_cache(maxsize=1)
+def _hashers() -> tuple[WordHasher, WordHasher]:
+    """For words and lines, one of each for each process: their tables of powers are large."""
+    return WordHasher(BLANKS, lower=True), WordHasher(b"\n", lower=False, seed=3)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> Features:
     n, size = len(offsets) - 1, np.maximum(np.diff(offsets), 1).astype(float)
-    words, starts, lengths, first = WordHasher(BLANKS, lower=True).hashes(data, offsets)
-    lines, _, _, line_first = WordHasher(b"\n", lower=False, seed=3).hashes(data, offsets)
+    words, starts, lengths, first = _hashers()[0].hashes(data, offsets)
+    lines, _, _, line_first = _hashers()[1].hashes(data, offsets)
     text_of_byte = np.repeat(np.arange(n), np.diff(offsets))
     histogram = np.bincount(text_of_byte * 256 + data, minlength=n * 256).reshape(n, 256)
     n_words, n_lines = np.diff(first), np.diff(line_first)
@@ -58,6 +69,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
         np.bincount(text_of_word, weights=lengths <= 2, minlength=n) / some_words,
         _distinct(text_of_word, words, n) / some_words,
         _distinct(np.repeat(np.arange(n), n_lines), lines, n) / some_lines,
+        np.bincount(text_of_word[1:][(words[1:] == words[:-1]) & (text_of_word[1:] == text_of_word[:-1])], minlength=n) / some_words * 3,
         upper / size * 10,
         lower / size,
         histogram[:, 48:58].sum(1) / size * 10,
@@ -81,7 +93,7 @@ class FactorisationMachine:
 
     def _sums(self, f: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(f.first) - 1
-        x = np.clip((f.stats - self.mean) / self.scale, -5, 5)
+        x = np.clip((f.stats - self.mean) / self.scale, -REACH, REACH)
         count = np.diff(f.first)
         share = 1 / np.maximum(count, 1)[:, None]
         sums, squares, linear = np.zeros((n, FACTORS)), np.zeros((n, FACTORS)), np.zeros(n)
@@ -116,7 +128,7 @@ def fit(f: Features, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0) ->
     rng, n = np.random.default_rng(seed), len(labels)
     share = (labels.sum() + 1) / (n + 2)
     spread = f.stats.std(axis=0) if n else np.ones(N_STATS)
-    model = FactorisationMachine(f.stats.mean(axis=0) if n else np.zeros(N_STATS), np.where(spread > 1e-6, spread, 1), float(np.log(share / (1 - share))), np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, FACTORS)), np.zeros(N_STATS), rng.normal(0, 0.05, (N_STATS, FACTORS)))
+    model = FactorisationMachine(f.stats.mean(axis=0) if n else np.zeros(N_STATS), np.where(spread > 1e-6, spread, 1), float(np.log(share / (1 - share))), np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, FACTORS)), np.zeros(N_STATS), rng.normal(0, 0.01, (N_STATS, FACTORS)))
     if len(set(labels.tolist())) < 2:
         model.word_v[:], model.stat_v[:] = 0, 0
         return model
@@ -134,8 +146,8 @@ def fit(f: Features, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0) ->
             counts = np.diff(own.first)
             each = np.repeat(wrong / np.maximum(counts, 1), counts)
             shares = np.repeat(1 / np.maximum(counts, 1), counts)
-            grads = {"stat_w": x.T @ wrong + 1e-4 * model.stat_w, "word_w": np.bincount(own.words, each, BUCKETS) + 1e-5 * model.word_w}
-            grads["stat_v"] = x.T @ (wrong[:, None] * sums) - model.stat_v * ((x**2).T @ wrong)[:, None] + 1e-4 * model.stat_v
+            grads = {"stat_w": x.T @ wrong + PENALTY * model.stat_w, "word_w": np.bincount(own.words, each, BUCKETS) + 1e-5 * model.word_w}
+            grads["stat_v"] = x.T @ (wrong[:, None] * sums) - model.stat_v * ((x**2).T @ wrong)[:, None] + PENALTY * model.stat_v
             inner = each * shares
             again = np.bincount(own.words, inner, BUCKETS)
             by_factor = np.repeat(sums, counts, axis=0)
@@ -175,13 +187,13 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "d
     Null and empty texts get the score of a text without words. Repeated rows and null ids each give their own row; other columns
     are not read, nor is the id an input of the score; an empty table gives no rows.
     """
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch_column(batch, "text"))
             scores = [sigmoid(model.logits(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))) for a, b in slices(offsets)]
-            yield pa.RecordBatch.from_arrays([batch_column(batch, "id"), pa.array(np.concatenate([np.zeros(0), *scores]))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch_column(batch, "id"), pa.array(np.round(np.concatenate([np.zeros(0), *scores]), DIGITS))], ["id", "score"])
 
     scored = chosen.mapInArrow(run, T.StructType([T.StructField("id", chosen.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
     return scored.select(F.col("id").alias(id_col), (crc_fold(F.col("id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
