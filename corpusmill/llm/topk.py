@@ -102,7 +102,7 @@ def _top(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank from 1, vec_id and score: the k vectors with the highest inner product for each query, ties to smaller ids.
 
-    Components are floor(1024 * x). Rows with a null id, a null vector, or a null or non-finite component take no part. Vectors
+    Components are floor(1024 * x); scores beyond the range of a long are held to it. Rows with a null id, a null vector, or a null or non-finite component take no part. Vectors
     of other lengths than the query's are no candidates. Of rows with one id and one vector the first counts once. Fewer than k
     candidates are all returned; an empty table gives no rows. Other columns are not read.
 
