@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that one numpy pass takes; its arrays of eight bytes a character then stay near 16 MB each.
 SLICE_BYTES = 2 << 20
+#: Bytes of a batch between the JVM and Python. Either side holds several copies of it, and texts can be long.
+BATCH_BYTES = "4m"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session batches for Python now hold BATCH_BYTES at most, or one row."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset, as in local tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,7 +43,7 @@ def stored(df: DataFrame) -> DataFrame:
 
     The table is deleted when the driver's JVM ends.
     """
-    spark = df.sparkSession
+    spark = bounded_batches(df).sparkSession
     path = f"{scratch_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)

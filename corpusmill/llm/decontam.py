@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, golden, grams, mixed, slices, text_bytes
+from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_batches, golden, grams, mixed, slices, text_bytes
 
 #: A window contains an item if their edit distance in words is at most this share of the item's words.
 MAX_SHARE = 0.2
@@ -110,9 +110,9 @@ class Matcher:
         """Collects, for each size, windows that can be within reach of an item, with as many words around as edits may take.
 
         An edit destroys at most two of an item's pairs of neighbouring words and moves its end by one word. So an n-word window
-        that begins where a run within k edits begins holds at least n - 1 - 3k of the pairs that items of n words have. Windows
-        are taken from a kept pair on, the first of which k edits can move on by k words: hence n - 1 - 4k. Of windows that begin
-        within k + 1 words of each other the one with the most pairs is taken.
+        that begins at the first kept pair of a run within k edits holds at least n - 1 - 3k of the pairs that items of n words
+        have; one pair less for each edit is asked for. That pair is at most 2k words into the run. Of windows that begin in one
+        block of k + 1 words the one with the most pairs is taken: the run then begins within 3k words of it.
         """
         words, _, _, first = self.hasher.hashes(data, offsets)
         if len(words) < 2 or not self.sizes:
@@ -133,7 +133,7 @@ class Matcher:
             order = np.lexsort((-pairs[who], block, text[hits[who]]))
             new = np.append(True, (np.diff(text[hits[who][order]]) != 0) | (np.diff(block[order]) != 0))
             who = who[order[new]]
-            at = hits[who][:, None] + np.arange(-2 * k, n + 2 * k)
+            at = hits[who][:, None] + np.arange(-3 * k, n + 3 * k)
             own = text[hits[who]]
             within = (at >= first[:-1][own][:, None]) & (at < first[1:][own][:, None])
             into[n].append((np.where(within, words[np.clip(at, 0, len(words) - 1)], _OUTSIDE), own + text_base, hits[who] - first[:-1][own]))
@@ -152,7 +152,7 @@ class Matcher:
             for low in range(0, len(text), 4096):
                 own = contexts[low : low + 4096]
                 candidates = set()
-                for r, mine in enumerate(cgk_keys(np.ascontiguousarray(own[:, 2 * k : 2 * k + n]))):
+                for r, mine in enumerate(cgk_keys(np.ascontiguousarray(own[:, 3 * k : 3 * k + n]))):
                     left, right = np.searchsorted(keys[r], mine, "left"), np.searchsorted(keys[r], mine, "right")
                     for w in np.flatnonzero(right > left):
                         candidates.update((int(w), int(i)) for i in order[r][left[w] : right[w]])
@@ -169,7 +169,7 @@ class Matcher:
 
 def matchers(benchmark: DataFrame, max_share: float = MAX_SHARE) -> Iterator[Matcher]:
     """A Matcher for each block of the benchmark. Items with a null id or text are left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = bounded_batches(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for block in range(blocks):
@@ -183,7 +183,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, max_share: float =
     of letters and digits in lower case. Null and empty texts contain nothing; items with fewer than MIN_WORDS words match nothing;
     repeated rows each give their own rows, as do null ids; other columns are not read; empty tables give no rows.
     """
-    chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = T.StructType([T.StructField("id", chosen.schema["id"].dataType)] + [T.StructField(n, T.LongType()) for n in ("item_id", "distance", "item_words", "first_word")])
 
     def scan(matcher: Matcher) -> DataFrame:
@@ -209,13 +209,11 @@ def contains_item(text: Column, benchmark: DataFrame, max_share: float = MAX_SHA
 
 
 def _hits(matcher: Matcher):
-    @F.pandas_udf("boolean")
-    def hit(texts):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
         found = np.zeros(len(texts), bool)
-        found[[row[0] for row in matcher.find(pa.array(texts.tolist(), pa.large_string(), from_pandas=True))]] = True
-        return pd.Series(found)
+        found[[row[0] for row in matcher.find(texts)]] = True
+        return pa.array(found)
 
     return hit
 

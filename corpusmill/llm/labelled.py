@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import crc_fold
+from corpusmill.llm.common import bounded_batches, crc_fold
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, per_class: int | None = None, keep: Column | None = None) -> DataFrame:
@@ -21,6 +21,6 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, p
     else:
         picked = chosen.where("label = 1").orderBy(*order).limit(per_class).unionByName(chosen.where("label = 0").orderBy(*order).limit(min(limit - per_class, limit)))
     # At most limit rows of two numbers: small enough for every executor, whatever the corpus.
-    own = docs.select(F.col("doc_id").alias("own_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    own = bounded_batches(docs).select(F.col("doc_id").alias("own_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     found = own.join(F.broadcast(picked), own["own_id"] == picked["doc_id"])
     return found.select(F.col("own_id").alias("doc_id"), "text", "label")

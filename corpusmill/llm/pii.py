@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import batch_column
+from corpusmill.llm.common import batch_column, bounded_batches
 
 #: Kinds in the order in which spans are listed; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret", "mac")
@@ -155,7 +155,7 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have no spans; repeated rows and null ids each give their own row; other columns are not read; an
     empty table gives no rows. Every pattern takes time linear in the text.
     """
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +173,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def clean(texts):
         return texts.map(lambda x: redacted(x, find_spans(x)), na_action="ignore")
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return bounded_batches(docs).withColumn(text_col, clean(F.col(text_col)))
 
 
 def span_digest(kinds: tuple[str, ...]):

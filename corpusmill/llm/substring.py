@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import BLANKS, WordHasher, batch_column, grams, mixed, signed, slices, stored, text_bytes
+from corpusmill.llm.common import BLANKS, WordHasher, batch_column, bounded_batches, grams, mixed, signed, slices, stored, text_bytes
 
 WINDOW, ANCHOR = 13, 5
 #: Bits of a filter for each value, and of a filter at least and at most (32 MB). A fuller filter lets more windows through to the
@@ -188,7 +188,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no words. Rows with a null id lose and cost nothing. Rows of one id are one document for others and
     do not count against each other. Other columns are not read; an empty table gives no rows.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
     digests = known.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").withColumnRenamed("digest", "copied")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, crc_fold, mixed, slices, text_bytes
+from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_batches, crc_fold, mixed, slices, text_bytes
 from corpusmill.llm.labelled import training_texts
 
 #: Words of a window and from one to the next; state size; widths of the word and character inputs; their hash buckets.
@@ -23,8 +24,10 @@ WORD_BUCKETS, CHAR_BUCKETS, GRAM = 1 << 16, 1 << 16, 4
 #: Labelled documents to learn from at most, and of them toxic ones; rounds of choosing windows and batches in each.
 MAX_TRAINING, MAX_TOXIC, ROUNDS, BATCHES, BATCH = 3_000, 1_000, 10, 24, 256
 THRESHOLD = 0.5
+#: Decimals of a score: below them it may depend on what is scored beside it.
+DIGITS = 6
 #: Bytes of text scored at once.
-SCORE_BYTES = 1 << 20
+SCORE_BYTES = 1 << 19
 
 
 @dataclass
@@ -37,10 +40,15 @@ class Words:
     first: np.ndarray
 
 
+@lru_cache(maxsize=1)
+def _hasher() -> WordHasher:
+    """One for each process: its tables of powers are large."""
+    return WordHasher(NOT_ALNUM, lower=True, seed=5)
+
+
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Words of letters and digits in lower case; grams are GRAM bytes from one before the word's start to one after its end."""
-    hasher = WordHasher(NOT_ALNUM, lower=True, seed=5)
-    words, starts, lengths, first = hasher.hashes(data, offsets)
+    words, starts, lengths, first = _hasher().hashes(data, offsets)
     rng = np.random.default_rng(6)
     # A gram's bytes outside its word count as a mark.
     values = rng.integers(0, 2**63, (GRAM, 257), np.uint64)
@@ -274,7 +282,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING
 def _scores(model: Network, texts: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(texts)
     parts = [score_words(model, read_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))[0] for a, b in slices(offsets, SCORE_BYTES)]
-    return np.concatenate([np.zeros(0), *parts])
+    return np.round(np.concatenate([np.zeros(0), *parts]), DIGITS)
 
 
 class Scorer:
@@ -295,7 +303,7 @@ def score_toxicity(docs: DataFrame, model: Network, id_col: str = "doc_id", text
     Null and empty texts get the score of a window without words. Repeated rows and null ids each give their own row; other
     columns are not read, nor is the id an input of the score; an empty table gives no rows.
     """
-    chosen, scorer = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), Scorer(model)
+    chosen, scorer = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), Scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,10 +317,8 @@ def toxicity_of(text: Column, model: Network) -> Column:
     """The score as a Column, for filters that keep all other columns."""
     scorer = Scorer(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(scorer(pa.array(texts.tolist(), pa.large_string(), from_pandas=True)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(scorer(texts))
 
     return score(text)
