@@ -44,15 +44,16 @@ def word_counts(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def word_bytes(word: Column) -> Column:
-    """The UTF-8 bytes of a word as numbers."""
-    raw = F.encode(word, "UTF-8")
-    return F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
+    """The UTF-8 bytes of a word as numbers: read as Latin-1, each byte is one character, and its code is the byte."""
+    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    return F.when(word == "", F.array().cast("array<int>")).otherwise(F.transform(letters, lambda c: F.ascii(c)))
 
 
 def pair_counts(words: DataFrame, ids: Column) -> DataFrame:
     """left, right and n: adjacent ids of all words, each weighted by the word's n; overlapping pairs all count."""
     sized = words.select("n", ids.alias("ids")).where(F.size("ids") > 1)
-    pairs = sized.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.size("ids") - 2), lambda i: F.struct(F.get("ids", i).alias("left"), F.get("ids", i + 1).alias("right")))).alias("pair"))
+    left, right = F.slice("ids", F.lit(1), F.size("ids") - 1), F.slice("ids", F.lit(2), F.size("ids") - 1)
+    pairs = sized.select("n", F.explode(F.arrays_zip(left.alias("left"), right.alias("right"))).alias("pair"))
     return pairs.groupBy("pair.left", "pair.right").agg(F.sum("n").alias("n"))
 
 
