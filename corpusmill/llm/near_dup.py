@@ -153,7 +153,7 @@ def _with_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     involved = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "want"))
     small = involved.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(involved) if small else involved, docs["doc_id"] == involved["want"], "left_semi")
-    sets = stored(texts.mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]))
+    sets = stored(texts.mapInArrow(_sets, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
     a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
@@ -224,8 +224,8 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     gathered.
 
     Null and empty texts have no shingles and are linked with nothing. Rows with a null id have a null component and are kept;
-    rows of one id with different texts are taken row by row, the smallest text standing for the id in checks. Other columns are
-    not read; an empty table gives no rows.
+    rows of one id with different texts are one document to others, by the smaller of their sets, and each give their own row. Other
+    columns are not read; an empty table gives no rows.
     """
     docs = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "h1", "h2")] + [T.StructField("keys", T.ArrayType(T.LongType()))] + [T.StructField(n, T.LongType()) for n in _BITS])
@@ -259,7 +259,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     # In a large bucket all members are compared with one text, the same one for as many buckets as can be: the center of the
     # fullest bucket that the bucket's center is in. Two members can only be similar if they differ from it in the same shingles.
     upper = members.join(center, members["key"] == center["center_key"]).groupBy("rep").agg(F.max("top").alias("best")).select(F.col("rep").alias("lower"), (-F.col("best.back")).alias("reference"))
-    many = open_members.where(F.col("size") > SMALL_BUCKET)
+    many = open_members.where(F.col("size") > SMALL_BUCKET).select("center", "rep").distinct()
     compared_with = many.join(upper, many["center"] == upper["lower"]).where("rep <> reference").select(F.col("reference").alias("a"), F.col("rep").alias("b")).distinct()
     apart = stored(_with_sets(stored(compared_with), docs).mapInArrow(_differences(percent), _DIFFERENCE))
     more_links = apart.where("element is null").select(F.col("a").alias("src"), F.col("b").alias("dst"))
