@@ -121,11 +121,15 @@ class WordHasher:
 
     def _reach(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, SLICE_BYTES)
+            n = max(n, 2 * len(self.powers), 1 << 19)
             up, down = np.full(n, self.base), np.full(n, self.inverse)
             up[0] = down[0] = 1
             self.powers, self.backward = np.multiply.accumulate(up), np.multiply.accumulate(down)
 
+    def __getstate__(self) -> dict:
+        """Without the tables of powers: whoever gets the hasher makes them anew."""
+        return self.__dict__ | {"powers": np.ones(0, np.uint64), "backward": np.ones(0, np.uint64)}
+
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and lengths in bytes of all words, and the number of the first word of each text, with the end at last."""
         inside = self.inside[data]
