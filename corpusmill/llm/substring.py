@@ -23,6 +23,8 @@ FILTER_BITS_EACH, MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 20, 1 << 28
 BROADCAST_COPIES = 1_000_000
 #: Phrases of one automaton; each takes up to 39 nodes.
 SHARD_PHRASES = 20_000
+#: Tasks that the copies of one text are dealt to.
+SALTS = 32
 _BUCKET = 32_768  # bits of Spark's bitmap buckets
 
 
@@ -190,9 +192,12 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = bounded_batches(documents).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = rows.where("doc_id is not null")
-    digests = known.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").withColumnRenamed("digest", "copied")
-    copies = stored(digests.join(first, (digests["digest"] == first["copied"]) & (digests["doc_id"] > first["first_doc"])).select(F.col("doc_id").alias("copy_id"), "copied").distinct())
+    # A text with very many copies is dealt to several tasks.
+    digests = known.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    first = first.select(F.col("digest").alias("copied"), "first_doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("copied_salt"))
+    same = (digests["digest"] == first["copied"]) & (digests["salt"] == first["copied_salt"]) & (digests["doc_id"] > first["first_doc"])
+    copies = stored(digests.join(first, same).select(F.col("doc_id").alias("copy_id"), "copied").distinct())
     texts = known
     if copies.count() <= BROADCAST_COPIES:
         is_copy = (known["doc_id"] == copies["copy_id"]) & (F.md5(known["text"].cast("binary")) == copies["copied"])
