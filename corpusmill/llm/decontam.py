@@ -106,62 +106,74 @@ class Matcher:
             order = np.argsort(keys, axis=1)
             self.sizes[n] = (np.array([name for name, _ in own], np.int64), rows, np.take_along_axis(keys, order, 1), order)
 
-    def _windows(self, data: np.ndarray, offsets: np.ndarray, text_base: int, into: dict[int, list]) -> None:
-        """Collects, for each size, windows that can be within reach of an item, with as many words around as edits may take.
+    def _starts(self, words: np.ndarray, first: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each size, the starts of all windows that can be within reach of an item, and their texts.
 
         An edit destroys at most two of an item's pairs of neighbouring words and moves its end by one word. So an n-word window
         that begins at the first kept pair of a run within k edits holds at least n - 1 - 3k of the pairs that items of n words
-        have; one pair less for each edit is asked for. That pair is at most 2k words into the run. Of windows that begin in one
-        block of k + 1 words the one with the most pairs is taken: the run then begins within 3k words of it.
+        have. That pair is at most 2k words into the run: every start from 2k words before such a window on is taken, and the
+        start of the run is among them.
         """
-        words, _, _, first = self.hasher.hashes(data, offsets)
-        if len(words) < 2 or not self.sizes:
-            return
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         all_hits, number = self.pairs(grams(words, 2))
         inside = text[all_hits] == text[all_hits + 1]
         all_hits, number = all_hits[inside], number[inside]
+        out = {}
         for n in self.sizes:
             k, hits = edits(n, self.max_share), all_hits[self.has_pair[n][number]]
             end = np.minimum(hits + n - 1, first[1:][text[hits]] - 1)
-            pairs = np.searchsorted(hits, end) - np.arange(len(hits))
-            who = np.flatnonzero(pairs >= max(1, n - 1 - 4 * k))
-            if not len(who):
+            hits = hits[np.searchsorted(hits, end) - np.arange(len(hits)) >= max(1, n - 1 - 3 * k)]
+            if not len(hits):
                 continue
-            begin = hits[who] - first[:-1][text[hits[who]]]
-            block = begin // (k + 1)
-            order = np.lexsort((-pairs[who], block, text[hits[who]]))
-            new = np.append(True, (np.diff(text[hits[who][order]]) != 0) | (np.diff(block[order]) != 0))
-            who = who[order[new]]
-            at = hits[who][:, None] + np.arange(-3 * k, n + 3 * k)
-            own = text[hits[who]]
-            within = (at >= first[:-1][own][:, None]) & (at < first[1:][own][:, None])
-            into[n].append((np.where(within, words[np.clip(at, 0, len(words) - 1)], _OUTSIDE), own + text_base, hits[who] - first[:-1][own]))
+            low = np.maximum(hits - 2 * k, first[:-1][text[hits]])
+            low[1:] = np.maximum(low[1:], hits[:-1] + 1)
+            counts = hits + 1 - low
+            starts = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            out[n] = starts, text[starts]
+        return out
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """text number, item, distance, item's words and the window's first word; the best window for each text and item."""
         data, offsets = text_bytes(texts)
-        found: dict[int, list] = defaultdict(list)
-        for a, b in slices(offsets):
-            self._windows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a, found)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if not self.sizes:
+            return []
+        read: list[tuple[np.ndarray, np.ndarray]] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        base = 0
+        for a, b in slices(offsets):
+            words, _, _, first = self.hasher.hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for n, (starts, text) in self._starts(words, first).items():
+                found[n].append((starts + base, text + a))
+            read.append((words, first[:-1] + base))
+            base += len(words)
+        if not found:
+            return []
+        words, first = np.concatenate([w for w, _ in read]), np.append(np.concatenate([f for _, f in read]), base)
         for n, parts in found.items():
             names, rows, keys, order = self.sizes[n]
             k = edits(n, self.max_share)
-            contexts, text, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for low in range(0, len(text), 4096):
-                own = contexts[low : low + 4096]
-                candidates = set()
-                for r, mine in enumerate(cgk_keys(np.ascontiguousarray(own[:, 3 * k : 3 * k + n]))):
+            starts, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for low in range(0, len(starts), 4096):
+                of, at = text[low : low + 4096], starts[low : low + 4096, None] + np.arange(n)
+                own = np.where(at < first[1:][of][:, None], words[np.minimum(at, base - 1)], _OUTSIDE)
+                # Of an item's starts in one block of k + 1 the first is looked at, with k words more around than edits may take.
+                block = starts[low : low + 4096] // (k + 1)
+                candidates: dict[tuple[int, int, int], int] = {}
+                for r, mine in enumerate(cgk_keys(own)):
                     left, right = np.searchsorted(keys[r], mine, "left"), np.searchsorted(keys[r], mine, "right")
-                    for w in np.flatnonzero(right > left):
-                        candidates.update((int(w), int(i)) for i in order[r][left[w] : right[w]])
+                    for w in np.flatnonzero(right > left).tolist():
+                        for i in order[r][left[w] : right[w]].tolist():
+                            place = int(of[w]), int(block[w]), i
+                            candidates[place] = min(candidates.get(place, w), w)
                 if not candidates:
                     continue
-                pairs = np.array(sorted(candidates))
-                distance = edit_distances(rows[pairs[:, 1]], own[pairs[:, 0]])
+                pairs = np.array(sorted((w, i) for (_, _, i), w in candidates.items()))
+                at, own = starts[low + pairs[:, 0], None] + np.arange(-4 * k, n + 4 * k), of[pairs[:, 0]]
+                within = (at >= first[:-1][own][:, None]) & (at < first[1:][own][:, None])
+                distance = edit_distances(rows[pairs[:, 1]], np.where(within, words[np.clip(at, 0, base - 1)], _OUTSIDE))
                 for (w, i), d in zip(pairs[distance <= k], distance[distance <= k], strict=True):
-                    key, made = (int(text[low + w]), int(names[i])), (int(d), n, int(start[low + w]))
+                    key, made = (int(of[w]), int(names[i])), (int(d), n, int(starts[low + w] - first[of[w]]))
                     if key not in best or made < best[key]:
                         best[key] = made
         return [(*key, *value) for key, value in sorted(best.items())]
@@ -218,14 +230,30 @@ def _hits(matcher: Matcher):
     return hit
 
 
-def recall_of(share: float, n: int = 34, trials: int = 400, seed: int = 0) -> float:
-    """The share of windows, edited at random in that share of their words, that get a key of their item."""
+def recall_of(share: float, n: int = 34, trials: int = 400, seed: int = 0, front: str = "") -> float:
+    """The share of passages, edited in that share of their words, of which a window that is hashed gets a key of its item.
+
+    front: "" edits at random places and looks at the window that begins with the passage only; "clipped" leaves out the first
+    words, "edited" replaces them, and the starts looked at are those from 2k words before the first kept pair up to it.
+    """
     rng = np.random.default_rng(seed)
+    k = edits(n, share)
     items = rng.integers(1, 2**63, (trials, n), np.uint64)
+    if front:
+        # The kept words begin 2k words into the text, so starts 0 to 2k are looked at.
+        before = rng.integers(1, 2**63, (trials, 2 * k), np.uint64)
+        after = rng.integers(1, 2**63, (trials, n), np.uint64)
+        passage = items[:, k:] if front == "clipped" else np.concatenate([before[:, :k], items[:, k:]], axis=1)
+        texts = np.concatenate([before if front == "clipped" else before[:, k:], passage, after], axis=1)
+        own = cgk_keys(items)
+        found = np.zeros(trials, bool)
+        for start in range(2 * k + 1):
+            found |= (own == cgk_keys(np.ascontiguousarray(texts[:, start : start + n]))).any(axis=0)
+        return float(found.mean())
     edited = np.zeros_like(items)
     for row, item in enumerate(items):
         words = list(item)
-        for _ in range(edits(n, share)):
+        for _ in range(k):
             at, kind = int(rng.integers(len(words))), rng.integers(3)
             if kind == 0:
                 words[at] = rng.integers(1, 2**63, dtype=np.uint64)

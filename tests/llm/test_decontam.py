@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusmill.llm.decontam import MIN_WORDS, contains_item, contaminated, edit_distances, edits, recall_of
+from corpusmill.llm.decontam import MIN_WORDS, Matcher, contains_item, contaminated, edit_distances, edits, recall_of
 from corpusmill.llm.queries import op5_decontamination
 from tests.llm.tables import EDGE_TEXTS, docs_of, edge_docs, no_docs, table
 from tests.llm.test_license import words_of
@@ -63,6 +64,34 @@ def test_planted_edits(spark):
     assert len(got) >= 0.99 * len(want) > 100
 
 
+def front_damaged(n_docs=400, seed=4):
+    """Items, and texts with a passage whose first words are left out or replaced, as many as edits allow."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 1 << 40, n)]
+    items = [(k, " ".join(f"i{x}" for x in rng.integers(0, 1 << 40, int(rng.integers(8, 200))))) for k in range(n_docs)]
+    docs = []
+    for k in range(n_docs):
+        own = items[k][1].split()
+        gone = edits(len(own))
+        docs.append(" ".join([*fresh(int(rng.integers(0, 100))), *(fresh(gone) if k % 2 else []), *own[gone:], *fresh(int(rng.integers(0, 100)))]))
+    return items, docs
+
+
+def test_passages_without_their_first_words():
+    items, docs = front_damaged()
+    got = {row[:3] for row in Matcher(items).find(pa.array(docs))}
+    want = brute_force(list(enumerate(docs)), items)
+    assert got <= want
+    assert len(want) == len(docs)
+    assert len(got) >= 0.995 * len(want)
+
+
+def test_recall_of_front_damage():
+    for n in (10, 34, 100):
+        assert recall_of(0.2, n, 200, front="clipped") >= 0.98
+        assert recall_of(0.2, n, 200, front="edited") >= 0.98
+
+
 def test_recall_of_the_hashes():
     assert recall_of(0.2) >= 0.98
     assert recall_of(0.05) == 1
