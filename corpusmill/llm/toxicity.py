@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network over word and character inputs with attention pooling, trained in numpy.
 
-A text is scored by all overlapping windows of its words; its score is that of its worst window.
+A text is scored by the windows from each of its words on; its score is that of its worst window.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from pyspark.sql import types as T
 from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_batches, crc_fold, mixed, slices, text_bytes
 from corpusmill.llm.labelled import training_texts
 
-#: Words of a window and from one to the next; state size; widths of the word and character inputs; their hash buckets.
-WINDOW, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 18, 8, 6, 10
+#: Words of a window; in training, words from one to the next; state size; widths of the word and character inputs; their hash buckets.
+WINDOW, TRAINING_STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 24, 18, 8, 6, 10
 WORD_BUCKETS, CHAR_BUCKETS, GRAM = 1 << 16, 1 << 16, 4
 #: Labelled documents to learn from at most, and of them toxic ones; rounds of choosing windows and batches in each.
 MAX_TRAINING, MAX_TOXIC, ROUNDS, BATCHES, BATCH = 3_000, 1_000, 10, 24, 256
 THRESHOLD = 0.5
 #: Decimals of a score: below them it may depend on what is scored beside it.
 DIGITS = 6
-#: Bytes of text scored at once.
-SCORE_BYTES = 1 << 19
+#: Bytes of text and windows scored at once.
+SCORE_BYTES, SCORE_WINDOWS = 1 << 19, 2048
 
 
 @dataclass
@@ -79,14 +79,36 @@ def read_slices(data: np.ndarray, offsets: np.ndarray) -> Words:
     )
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of each window, -1 where it has none, and the text of each. Every text has one window at least."""
-    counts = np.diff(first)
-    per = np.maximum(1, -(-(counts - WINDOW) // STRIDE) + 1)
-    text = np.repeat(np.arange(len(counts)), per)
-    begin = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
+def window_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word's number of all windows, one from each word on that WINDOW words follow, and the text of each. Every text has
+    one window at least."""
+    per = np.maximum(1, np.diff(first) - WINDOW + 1)
+    text = np.repeat(np.arange(len(per)), per)
+    return first[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per), text
+
+
+def training_starts(first: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Some of window_starts(): TRAINING_STRIDE apart from an offset that is drawn for each text, and the first and the last one."""
+    last = np.maximum(0, np.diff(first) - WINDOW)
+    per = -(-last // TRAINING_STRIDE) + 2
+    text = np.repeat(np.arange(len(last)), per)
+    step = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    offset = rng.integers(0, TRAINING_STRIDE, len(last)) - TRAINING_STRIDE
+    begin = np.clip(offset[text] + step * TRAINING_STRIDE, 0, last[text])
+    new = np.append(True, (np.diff(text) != 0) | (np.diff(begin) != 0)) if len(text) else np.zeros(0, bool)
+    return (begin + first[:-1][text])[new], text[new]
+
+
+def window_words(first: np.ndarray, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Word numbers of each window, -1 where it has none."""
     at = begin[:, None] + np.arange(WINDOW)
-    return np.where(at < counts[text][:, None], at + first[:-1][text][:, None], -1), text
+    return np.where(at < first[1:][text][:, None], at, -1)
+
+
+def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all windows and the text of each."""
+    begin, text = window_starts(first)
+    return window_words(first, begin, text), text
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -150,6 +172,49 @@ class Network:
         pooled = np.einsum("tn,tnk->nk", weight, hidden)
         return pooled @ p["o"] + p["c"][0], {"memory": memory, "hidden": hidden, "weight": weight, "pooled": pooled, "x": x, "at": at} if keep else {}
 
+    def slide(self, w: Words) -> np.ndarray:
+        """Logits of the full windows from each word on, whatever texts they lie in: forward() with a column for each window.
+
+        The words of all windows' step t are one stretch, so nothing is gathered; of a state only its energy and its part of the
+        output are kept. All is written with 1 / (1 + exp), half as dear as tanh: 1 - z is 1 / (1 + exp(x)), tanh(x) is 2 / (1 + exp(-2x)) - 1.
+        """
+        p, h, n = self.p, HIDDEN, len(w.bucket) - WINDOW + 1
+        scale = np.repeat(np.array([1, -1, -2], np.float32), h)
+        gates = np.ascontiguousarray(((np.matmul(self.inputs(w)[:-1][None], p["w"]) + p["b"]) * scale).transpose(0, 2, 1))
+        energy, value = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        for d in range(2):
+            read = np.stack([p["a"][d * h : (d + 1) * h], p["o"][d * h : (d + 1) * h]])
+            both = np.concatenate([p["u"][d].T * scale[:, None], read])
+            state, r = np.zeros((h, n), np.float32), np.empty((3 * h + 2, n), np.float32)
+            order = range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1)
+            before = None
+            for t in order:
+                np.matmul(both, state, out=r)
+                if before is not None:
+                    energy[before] += r[3 * h]
+                    value[before] += r[3 * h + 1]
+                g, zr, fresh = gates[d, :, t : t + n], r[: 2 * h], r[2 * h : 3 * h]
+                for x, own in ((zr, g[: 2 * h]), (fresh, g[2 * h :])):
+                    if x is fresh:
+                        x *= zr[h:]
+                    x += own
+                    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+                        np.exp(x, out=x)
+                    x += 1
+                    np.reciprocal(x, out=x)
+                fresh *= 2
+                fresh -= 1
+                fresh -= state
+                fresh *= zr[:h]
+                state += fresh
+                before = t
+            last = read @ state
+            energy[before] += last[0]
+            value[before] += last[1]
+        energy -= energy.max(axis=0)
+        np.exp(energy, out=energy)
+        return np.einsum("tn,tn->n", energy, value) / energy.sum(axis=0) + p["c"][0]
+
     def backward(self, wrong: np.ndarray, kept: dict, w: Words) -> dict[str, np.ndarray]:
         """Gradients; wrong: of the loss by each logit."""
         p, h, x, at = self.p, HIDDEN, kept["x"], kept["at"]
@@ -207,13 +272,32 @@ def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])]).astype(np.float32)
 
 
-def score_words(model: Network, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The worst window's score of each text; then logits, word numbers and text of all windows."""
-    at, text = windows(w.first)
-    logits, _ = model.forward(model.inputs(w), at)
+def all_logits(model: Network, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all windows, in the order of window_starts(), and the text of each."""
+    begin, text = window_starts(w.first)
+    short = (np.diff(w.first) < WINDOW)[text]
+    out = np.empty(len(begin), np.float32)
+    rows = np.flatnonzero(short)
+    for a in range(0, len(rows), 4096):
+        own = rows[a : a + 4096]
+        out[own] = _window_logits(model, w, window_words(w.first, begin[own], text[own]))
+    rows = np.flatnonzero(~short)
+    if len(rows):
+        slid, marks = np.empty(len(w.bucket), np.float32), np.append(w.gram_at, len(w.grams))
+        for a in range(0, len(w.bucket) - WINDOW + 1, SCORE_WINDOWS):
+            b = min(a + SCORE_WINDOWS + WINDOW - 1, len(w.bucket))
+            part = Words(w.bucket[a:b], w.grams[marks[a] : marks[b]], marks[a:b] - marks[a], np.array([0, b - a]))
+            slid[a : b - WINDOW + 1] = model.slide(part)
+        out[rows] = slid[begin[rows]]
+    return out, text
+
+
+def score_words(model: Network, w: Words) -> np.ndarray:
+    """The worst window's score of each text."""
+    logits, text = all_logits(model, w)
     worst = np.full(len(w.first) - 1, -np.inf)
     np.maximum.at(worst, text, logits)
-    return sigmoid(worst), logits, at, text
+    return sigmoid(worst)
 
 
 def fit(w: Words, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Network:
@@ -229,10 +313,11 @@ def fit(w: Words, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Ne
         model.p["o"][:] = 0
         return model
     model, rng = Network(seed), np.random.default_rng(seed)
-    at, text = windows(w.first)
-    toxic = labels[text] == 1
-    logits = rng.normal(0, 1, len(text))
     for k in range(rounds):
+        # Windows from other words on in each round, so that they are learnt wherever they begin.
+        begin, text = training_starts(w.first, rng)
+        at, toxic = window_words(w.first, begin, text), labels[text] == 1
+        logits = rng.normal(0, 1, len(text))
         if k:
             logits = np.concatenate([_window_logits(model, w, at[a : a + 4096]) for a in range(0, len(at), 4096)])
         order = np.lexsort((-logits, text))
@@ -281,7 +366,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING
 
 def _scores(model: Network, texts: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(texts)
-    parts = [score_words(model, read_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))[0] for a, b in slices(offsets, SCORE_BYTES)]
+    parts = [score_words(model, read_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, SCORE_BYTES)]
     return np.round(np.concatenate([np.zeros(0), *parts]), DIGITS)
 
 

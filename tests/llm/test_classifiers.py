@@ -96,6 +96,35 @@ def test_gradients():
             assert abs((up - down) / (2 * step) - g[i]) < 2e-2 * (1 + abs(g[i])), name
 
 
+def test_every_window_is_scored():
+    for n in (0, 1, 23, 24, 25, 42, 43, 500):
+        at, text = toxicity.windows(np.array([0, n, n + 3]))
+        assert at[text == 0][:, 0].tolist() == ([-1] if n == 0 else list(range(max(1, n - 23))))
+
+
+def test_sliding_scores_are_those_of_the_network():
+    data, offsets = text_bytes(pa.array([*planted(40)[0], "", "one", " ".join(f"w{i % 7}" for i in range(5000))]))
+    words, model = toxicity.read_words(data, offsets), toxicity.Network(3)
+    model.p["word"] *= 50
+    model.p["char"] *= 50
+    at, text = toxicity.windows(words.first)
+    logits, of = toxicity.all_logits(model, words)
+    assert (of == text).all()
+    assert np.allclose(logits, model.forward(model.inputs(words), at)[0], atol=1e-4)
+
+
+def test_score_does_not_hang_on_the_words_before():
+    """A long passage's own windows are all scored, wherever it begins, so a text scores no less than its passage."""
+    rng = np.random.default_rng(0)
+    model = toxicity.Network(3)
+    model.p["word"] *= 50
+    model.p["char"] *= 50
+    passage = " ".join(f"w{x}" for x in rng.integers(0, 500, 24))
+    texts = [passage, *(" ".join([*(f"v{x}" for x in rng.integers(0, 500, n)), passage, *(f"v{x}" for x in rng.integers(0, 500, 40))]) for n in range(40))]
+    scores = toxicity.Scorer(model)(pa.array(texts))
+    assert (scores[1:] >= scores[0] - 1e-5).all()
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 23, 24, 25, 42, 43, 500):
         at, text = toxicity.windows(np.array([0, n, n + 3]))
