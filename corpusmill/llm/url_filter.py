@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,9 +14,8 @@ from corpusmill.llm.common import ascii_lower, stored
 
 #: verdict, host, path. Fixed values.
 BASE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Share of the labelled urls that a combination needs, share of its urls with the verdict, tokens of a url and of a combination at
-#: most. At most MAX_TOKENS distinct tokens of a url that are frequent can occur, so support bounds the number of rules.
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, MAX_RULES = 0.02, 0.9, 12, 5_000
+#: Share of the labelled urls that a combination needs, share of its urls with the verdict.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.9
 DEFAULT = "allow"
 _PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -26,6 +26,11 @@ class TokenRule:
     verdict: str
     confidence: float
     support: float
+    #: For each of tokens, all that occur in the same labelled urls as it does; any of them fits as well. Empty: only tokens fit.
+    alike: tuple[tuple[str, ...], ...] = ()
+
+    def choices(self) -> tuple[tuple[str, ...], ...]:
+        return self.alike or tuple((t,) for t in self.tokens)
 
 
 def host_of(url: Column) -> Column:
@@ -69,35 +74,75 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[TokenRule]:
     """Rules from token combinations to a verdict, mined from (tokens, verdict) by FP-growth.
 
-    A rule is pruned if one with fewer of its tokens has its verdict and no lower confidence. Tokens below the support are cut
-    first, of a url's frequent ones the MAX_TOKENS most frequent stay; the miner never sees long transactions.
+    A rule is pruned if one with fewer of its tokens has its verdict and no lower confidence. No url loses a frequent token and no
+    rule is left out otherwise. The miner does not see tokens whose combinations are all pruned: those of one verdict only and those
+    of all urls are rules by themselves, and of tokens that occur in the same urls one stands for all.
     """
     n = labelled.count()
     if not n:
         return []
-    counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= min_support * n)
-    # At most MAX_TOKENS / min_support tokens were that frequent if urls had MAX_TOKENS each; the most frequent ones are taken.
-    frequent = [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(int(MAX_TOKENS / min_support)).collect()]
-    ranked = F.array(*map(F.lit, frequent)) if frequent else F.array().cast("array<string>")
-    items = F.slice(F.filter(ranked, lambda t: F.array_contains("tokens", t)), 1, MAX_TOKENS)
-    baskets = labelled.select(F.array_append(items, F.concat(F.lit("verdict:"), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " ")).limit(MAX_RULES).collect()
+    # Sums of both halves of a hash of the url's tokens tell in which urls a token is.
+    hashed = labelled.select(F.explode("tokens").alias("token"), "verdict", F.xxhash64("tokens").alias("h"))
+    counts = hashed.groupBy("token").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("verdict") == "block").alias("blocked"),
+        F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"),
+        F.sum(F.shiftrightunsigned("h", 32)).alias("high"),
+    )
+    # As FPGrowth counts the urls that a combination needs.
+    least = math.ceil(min_support * n)
+    classes: dict[tuple, list[str]] = {}
+    for r in counts.where(F.col("n") >= least).collect():
+        classes.setdefault((r["n"], r["blocked"], r["low"], r["high"]), []).append(r["token"])
     out: list[TokenRule] = []
-    for r in sorted(best, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"]))):
-        tokens, verdict = frozenset(r["antecedent"]), r["consequent"][0].removeprefix("verdict:")
-        if not any(o.verdict == verdict and o.confidence >= r["confidence"] and tokens.issuperset(o.tokens) for o in out):
-            out.append(TokenRule(tuple(sorted(tokens)), verdict, r["confidence"], r["support"]))
+    mixed: dict[str, tuple[str, ...]] = {}
+    for (all_of, blocked, *_), own in classes.items():
+        own = tuple(sorted(own))
+        if 0 < blocked < all_of < n:
+            mixed[own[0]] = own
+            continue
+        for verdict, count in (("block", blocked), ("allow", all_of - blocked)):
+            if count >= least and count / all_of >= min_confidence:
+                out.append(TokenRule(own[:1], verdict, count / all_of, count / n, (own,)))
+    if mixed:
+        spoken = F.array(*map(F.lit, sorted(mixed)))
+        baskets = labelled.select(F.array_append(F.array_intersect("tokens", spoken), F.concat(F.lit("verdict:"), "verdict")).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+        rules = model.associationRules.where(F.col("consequent")[0].startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
+        rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support"))
+        # From small to large: what is pruned by a pruned rule is also pruned by one that stayed, so only these are collected.
+        stayed: dict[frozenset, list[tuple[str, float]]] = {}
+        for size in sorted(r[0] for r in rules.select(F.size("tokens")).distinct().collect()):
+            for r in rules.where((F.size("tokens") == size) & ~_pruned(stayed)("tokens", "verdict", "confidence")).collect():
+                stayed.setdefault(frozenset(r["tokens"]), []).append((r["verdict"], r["confidence"]))
+                out.append(TokenRule(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"], tuple(mixed[t] for t in r["tokens"])))
     return sorted(out, key=lambda o: (-o.confidence, -o.support, o.verdict != "block", o.tokens))
 
 
+def _pruned(stayed: dict[frozenset, list[tuple[str, float]]]):
+    """Whether a rule has a smaller one among these, of its verdict and no lower confidence."""
+    by_token: dict[str, list[tuple[frozenset, str, float]]] = {}
+    for own, heads in stayed.items():
+        by_token.setdefault(min(own), []).extend((own, *head) for head in heads)
+
+    @F.pandas_udf("boolean")
+    def pruned(tokens: pd.Series, verdict: pd.Series, confidence: pd.Series) -> pd.Series:
+        def one(own, v, c) -> bool:
+            own = frozenset(own)
+            return any(v == w and d >= c and own.issuperset(less) for t in own for less, w, d in by_token.get(t, ()))
+
+        return pd.Series([one(*row) for row in zip(tokens, verdict, confidence, strict=True)], dtype=bool)
+
+    return pruned
+
+
 def match_rules(tokens: Column, rules: list[TokenRule]) -> Column:
     """The verdict of the first rule, in their order, whose tokens all occur; null if none. Rules are found by an inverted index."""
-    index: dict[str, list[int]] = {}
+    index: dict[str, list[tuple[int, int]]] = {}
     for i, rule in enumerate(rules):
-        for token in rule.tokens:
-            index.setdefault(token, []).append(i)
+        for place, choice in enumerate(rule.choices()):
+            for token in choice:
+                index.setdefault(token, []).append((i, place))
     sizes, verdicts = [len(r.tokens) for r in rules], [r.verdict for r in rules]
 
     @F.pandas_udf("string")
@@ -105,11 +150,11 @@ def match_rules(tokens: Column, rules: list[TokenRule]) -> Column:
         def one(own) -> str | None:
             if own is None:
                 return None
-            hits: dict[int, int] = {}
+            hits: dict[int, set[int]] = {}
             for token in own:
-                for i in index.get(token, ()):
-                    hits[i] = hits.get(i, 0) + 1
-            full = [i for i, n in hits.items() if n == sizes[i]]
+                for i, place in index.get(token, ()):
+                    hits.setdefault(i, set()).add(place)
+            full = [i for i, places in hits.items() if len(places) == sizes[i]]
             return verdicts[min(full)] if full else None
 
         return rows.map(one)

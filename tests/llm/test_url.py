@@ -60,3 +60,19 @@ def test_index_takes_the_best_rule(spark):
     rules = [TokenRule(("a", "b"), "block", 1.0, 0.5), TokenRule(("a",), "allow", 0.9, 0.5)]
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), (["b"],), ([],), (None,)], "t array<string>")
     assert [r["v"] for r in df.select(match_rules(F.col("t"), rules).alias("v")).collect()] == ["block", "allow", None, None, None]
+
+
+def test_no_rule_is_cut(spark):
+    """Two templates of 14 tokens that always come together, and a smaller site of less confidence with two tokens mixed."""
+    big = [[f"{name}{k}" for k in range(14)] for name in "xy"]
+    rows = [(big[0], "block")] * 60 + [(big[1], "allow")] * 60 + [(["s", "t", "all"], "block")] * 19 + [(["s", "t", "all"], "allow")] * 2 + [(["s", "u"], "allow")] * 20
+    rules = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"))
+    assert {(r.choices(), r.verdict, round(r.confidence, 6)) for r in rules} == {
+        ((tuple(sorted(big[0])),), "block", 1.0),
+        ((tuple(sorted(big[1])),), "allow", 1.0),
+        ((("all", "t"),), "block", round(19 / 21, 6)),
+        ((("u",),), "allow", 1.0),
+    }
+    urls = [["x13"], ["y13", "z"], ["t"], ["all"], ["s"]]
+    df = spark.createDataFrame([(u,) for u in urls], "t array<string>")
+    assert [r["v"] for r in df.select(match_rules(F.col("t"), rules).alias("v")).collect()] == ["block", "allow", "block", "block", None]
