@@ -5,12 +5,12 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from corpusmill.llm import near_dup
+from corpusmill.llm import near_dup, substring
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.near_dup import keep_first, near_duplicates, super_minhash
 from corpusmill.llm.queries import op7_substring_dedup, op9_near_dup
 from corpusmill.llm.sql import ORACLE_SQL
-from corpusmill.llm.substring import Filter, remove_repeats
+from corpusmill.llm.substring import Filter, covered, locate, remove_repeats
 from tests.helpers import spark_rows, sql_rows
 from tests.llm.tables import EDGE_TEXTS, docs_of, edge_docs, no_docs, table
 
@@ -200,3 +200,35 @@ def test_digest(spark, sf_dir):
     rows = {r["doc_id"]: r["kept_sha256"] for r in op7_substring_dedup(spark, sf_dir).collect()}
     texts = {r["doc_id"]: r["kept_text"] for r in remove_repeats(table(spark, sf_dir, "documents")).collect()}
     assert rows == {i: sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("bits", [2, 9])
+def test_windows_that_share_a_hash(spark, bits):
+    """With hashes of a few bits nearly all windows share one with others; the words decide all the same."""
+    rng = np.random.default_rng(bits)
+    passages = [" ".join(f"p{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(6)]
+    fill = lambda n: " ".join(f"f{x}" for x in rng.integers(0, 10**6, n))
+    rows = [(i, f"{fill(int(rng.integers(0, 20)))} {passages[i % 6] if i % 4 else ''} {fill(20)}\t{passages[(i + 1) % 6]}") for i in range(40)]
+    rows += [(40, rows[0][1]), (40, fill(30)), (None, rows[2][1])]
+    assert removed(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hash_bits=bits)) == repeats(rows)
+
+
+def test_automaton_finds_equal_words_only():
+    passage = b" ".join(b"w%d" % x for x in range(20))
+    text = passage.split()
+    other = [*text[:7], b"x", *text[8:]]
+    hits = locate([text, other, text, []], [5, 5, 2, 9], [[(3, passage)], [(3, passage)], [(3, passage)], [(3, passage)]])
+    assert [h.tolist() for h in hits] == [[True] * 8, [False] * 8, [False] * 8, []]
+    assert covered(np.array([True, False, False, False]), 16).tolist() == [True] * 13 + [False] * 3
+
+
+def test_words_beyond_three_letters(monkeypatch):
+    numbers = np.array([0, 127, 128, 128**3 - 1, 128**3, 128**4 - 1])
+    assert len(set(re.findall("....", substring.spelled(numbers, 4)))) == len(numbers)
+
+
+def test_one_window_in_half_the_documents(spark, monkeypatch):
+    """A hot window and a hot passage are dealt to several tasks, and nothing is lost."""
+    monkeypatch.setattr(substring, "HOT_WINDOW", 20)
+    rows = [(i, " ".join(f"h{x}" for x in range(30)) + f" own{i} " + " ".join(f"o{i}_{x}" for x in range(i % 20))) for i in range(200)]
+    assert removed(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == repeats(rows)
