@@ -38,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, so lost executors cost no earlier stage.
 
     The table is deleted when the driver's JVM ends.
@@ -47,7 +47,7 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     target.getFileSystem(conf).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 

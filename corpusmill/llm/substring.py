@@ -26,7 +26,7 @@ FILTER_BITS_EACH, MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 20, 1 << 28
 #: Copies of whole texts whose ids are broadcast to leave them out of the scans, 100 MB at most; more go through the scans.
 BROADCAST_COPIES = 1_000_000
 #: Phrases of one automaton; each takes up to 39 nodes.
-SHARD_PHRASES = 20_000
+SHARD_PHRASES = 10_000
 #: Tasks that the documents with one text, one window or one passage are dealt to; documents from which on a window is dealt.
 SALTS, HOT_WINDOW = 32, 10_000
 _BUCKET = 32_768  # bits of Spark's bitmap buckets
@@ -40,8 +40,8 @@ def _hasher() -> WordHasher:
 
 @dataclass
 class Windows:
-    """Of each window of each text: anchor, hash, text and place (the number of its first word in its text); begin and end: the
-    bytes of its first and behind its last word.
+    """Of each window of each text: anchor, hash, text and word, the number of its first word. starts and ends: the bytes of all
+    words; first: the number of each text's first word, with the end at last.
 
     A window's anchor is the least hash of the runs of ANCHOR words in it: equal windows have equal anchors, and neighbouring
     windows mostly share theirs, so anchors are some five times fewer than windows.
@@ -50,9 +50,19 @@ class Windows:
     anchors: np.ndarray
     hashes: np.ndarray
     text: np.ndarray
-    place: np.ndarray
-    begin: np.ndarray
-    end: np.ndarray
+    word: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+
+    def block(self, at: np.ndarray) -> np.ndarray:
+        """The number of the passage that windows begin in."""
+        return (self.word[at] - self.first[self.text[at]]) // PASSAGE
+
+    def bytes_of(self, raw: bytes, head: np.ndarray, tail: np.ndarray) -> pa.Array:
+        """The words from each window of head to each one of tail."""
+        begin, end = self.starts[self.word[head]], self.ends[self.word[tail] + WINDOW - 1]
+        return pa.array([raw[p:q] for p, q in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
 
 
 def windows_of(data: np.ndarray, offsets: np.ndarray, bits: int = 64, window: int = WINDOW, anchor: int = ANCHOR) -> Windows:
@@ -60,16 +70,14 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, bits: int = 64, window: in
     counts = np.maximum(np.diff(first) - window + 1, 0)
     text = np.repeat(np.arange(len(counts)), counts)
     if not len(text):
-        return Windows(np.zeros(0, np.uint64), np.zeros(0, np.uint64), text, text, text, text)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = first[:-1][text] + place
+        return Windows(np.zeros(0, np.uint64), np.zeros(0, np.uint64), text, text, starts, starts + lengths, first)
+    at = np.repeat(first[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(text))
     runs = grams(words, anchor)
     low, reach, width = runs, 1, window - anchor + 1
     while reach < width:
         step = min(reach, width - reach)
         low, reach = np.minimum(low[: len(low) - step], low[step:]), reach + step
-    last = at + window - 1
-    return Windows(mixed(low[at]), grams(words, window)[at] >> np.uint64(64 - bits), text, place, starts[at], starts[last] + lengths[last])
+    return Windows(mixed(low[at]), grams(words, window)[at] >> np.uint64(64 - bits), text, at, starts, starts + lengths, first)
 
 
 def _salted(ids: pa.Array) -> np.ndarray:
@@ -80,10 +88,11 @@ _FOUND = pa.schema([("value", pa.int64()), ("doc_id", pa.int64()), ("block", pa.
 
 
 def _scan(docs: DataFrame, bits: int, pick: Callable[[Windows], np.ndarray], of: str = "hashes", passages: bool = False, each: bool = False, hot: Filter | None = None) -> DataFrame:
-    """value, doc_id, block, salt and words of the windows whose numbers pick() gives: their anchors or hashes, each once a text.
+    """value, doc_id, block, salt and words of the windows whose numbers pick() gives: their anchors or hashes.
 
     block: the number of the passage that the window begins in; salt: other than 0 only for values in hot. words: null, or with
-    each those of the window. passages: further rows with a null value and the words of each passage with such a window.
+    each those of the window. passages: each value comes once a text, and the words of each passage with such a window come in
+    further rows with a null value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,24 +104,20 @@ def _scan(docs: DataFrame, bits: int, pick: Callable[[Windows], np.ndarray], of:
                 own = data[offsets[a] : offsets[b]]
                 w = windows_of(own, offsets[a : b + 1] - offsets[a], bits)
                 at = pick(w)
-                if not each:
-                    order = np.lexsort((getattr(w, of)[at], w.text[at]))
-                    at = at[order]
-                    again = np.zeros(len(at), bool)
-                    again[1:] = (w.text[at[1:]] == w.text[at[:-1]]) & (getattr(w, of)[at[1:]] == getattr(w, of)[at[:-1]])
-                    at = np.sort(at[~again])
-                values, text = getattr(w, of)[at], w.text[at]
-                raw = own.tobytes() if passages or each else b""
-                cut = lambda x, y: pa.array([raw[p:q] for p, q in zip(x.tolist(), y.tolist(), strict=True)], pa.binary())  # noqa: E731, B023
-                salt = np.where(hot(values), salts[a:b][text], 0) if hot is not None else np.zeros(len(at), np.int64)
-                words = cut(w.begin[at], w.end[at]) if each else pa.nulls(len(at), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.ascontiguousarray(values))), ids.take(pa.array(text + a)), pa.array((w.place[at] // PASSAGE).astype(np.int32)), pa.array(salt.astype(np.int32)), words], schema=_FOUND)
+                values, raw = getattr(w, of), own.tobytes() if passages or each else b""
                 if passages and len(at):
-                    block = w.place[at] // PASSAGE
+                    text, block = w.text[at], w.block(at)
                     new = np.append(True, (np.diff(text) != 0) | (np.diff(block) != 0))
-                    head = (at - w.place[at] % PASSAGE)[new]
+                    head = at[new] - (w.word[at[new]] - w.first[text[new]]) % PASSAGE
                     tail = np.minimum(head + PASSAGE, np.searchsorted(w.text, text[new], "right")) - 1
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(head), pa.int64()), ids.take(pa.array(text[new] + a)), pa.array(block[new].astype(np.int32)), pa.nulls(len(head), pa.int32()), cut(w.begin[head], w.end[tail])], schema=_FOUND)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(head), pa.int64()), ids.take(pa.array(text[new] + a)), pa.array(block[new].astype(np.int32)), pa.nulls(len(head), pa.int32()), w.bytes_of(raw, head, tail)], schema=_FOUND)
+                    order = np.argsort(values[at], kind="stable")  # keeps the order of texts among equal values
+                    text, same = text[order], values[at[order]]
+                    at = at[order[np.append(True, (text[1:] != text[:-1]) | (same[1:] != same[:-1]))]]
+                text, values = w.text[at], np.ascontiguousarray(values[at])
+                salt = np.where(hot(values), salts[a:b][text], 0) if hot is not None else np.zeros(len(at), np.int64)
+                words = w.bytes_of(raw, at, at) if each else pa.nulls(len(at), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(signed(values)), ids.take(pa.array(text + a)), pa.array(w.block(at).astype(np.int32)), pa.array(salt.astype(np.int32)), words], schema=_FOUND)
 
     return docs.mapInArrow(run, "value long, doc_id long, block int, salt int, words binary")
 
@@ -341,7 +346,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     recurring = stored(found.agg(*span, F.min_by("block", "doc_id").alias("block"), F.count("*").alias("n")).where(several).select("value", "first_doc", "block", "n"))
     repeated, hot = Filter(recurring), Filter(recurring.where(F.col("n") >= HOT_WINDOW))
 
-    occurring = stored(_scan(texts, hash_bits, lambda w: np.flatnonzero(anchors(w.anchors) & repeated(w.hashes)), passages=True, hot=hot))
+    occurring = stored(_scan(texts, hash_bits, lambda w: np.flatnonzero(anchors(w.anchors) & repeated(w.hashes)), passages=True, hot=hot), "zstd")
     seen = occurring.where("value is not null").select("value", "doc_id", "salt")
     of = _dealt(recurring.select("value", "first_doc", "block"), hot).withColumnsRenamed({"value": "recurring", "salt": "of_salt"})
     later = seen.join(of, (F.col("value") == F.col("recurring")) & (F.col("salt") == F.col("of_salt"))).where("first_doc < doc_id")
@@ -353,7 +358,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = rows.join(flags, rows["doc_id"] == flags["flagged_id"], "left").join(whole, rows["doc_id"] == whole["copy_id"], "left")
     is_whole = F.coalesce(F.array_contains("whole_texts", F.md5(F.col("text").cast("binary"))), F.lit(False))
     judged = marked.select(F.col("doc_id").alias("id"), "text", "passages", F.coalesce("flagged", F.lit(0)).alias("flagged"), is_whole.alias("whole"))
-    located = stored(judged.mapInArrow(_locate(hash_bits), _LOCATED))
+    located = stored(judged.mapInArrow(_locate(hash_bits), _LOCATED), "zstd")
     if not located.where("unsure is not null").isEmpty():
         located = _resolved(located, texts, judged, hash_bits)
     return located.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
