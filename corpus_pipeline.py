@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import load, stored
+from corpusmill.llm.common import load, path_of_stored, scratch_until, stored
 from corpusmill.llm.decontam import contains_item
 from corpusmill.llm.near_dup import keep_first
 from corpusmill.llm.packing import pack
@@ -61,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage keeps for itself is deleted once its result is written."""
     docs = load(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch_until(spark) as keep:
+            docs = stored(stage(spark, docs, sf_dir))
+            keep.add(path_of_stored(docs))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,9 +32,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset, as in local tests."""
+    """The shared folder named in spark.checkpoint.dir; one of our own only where that is unset and all tasks run on this machine.
+
+    A cluster without the setting is an error: its executors could not read each other's folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -41,15 +48,49 @@ def scratch_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, so lost executors cost no earlier stage.
 
-    The table is deleted when the driver's JVM ends.
+    The table is deleted by discard(), or when the driver's JVM ends.
     """
     spark = bounded_batches(df).sparkSession
     path = f"{scratch_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path, compression=compression)
-    target.getFileSystem(conf).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    _SCRATCH[path] = weakref.ref(out)
+    return out
+
+
+#: Paths of the tables that stored() wrote, with the frames that it gave for them.
+_SCRATCH: dict[str, weakref.ref] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave and that no later plan reads any more."""
+    for df in tables:
+        for path in [p for p, of in _SCRATCH.items() if of() is df]:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _SCRATCH.pop(path, None)
+
+
+@contextlib.contextmanager
+def scratch_until(spark: SparkSession) -> Iterator[set[str]]:
+    """All tables that stored() writes inside go at the end, but for paths that are added to the set: for whoever knows when a
+    result has been read. Not for two threads at once."""
+    before, keep = set(_SCRATCH), set()
+    try:
+        yield keep
+    finally:
+        for path in set(_SCRATCH) - before - keep:
+            _delete(spark, path)
+
+
+def path_of_stored(df: DataFrame) -> str:
+    return next(p for p, of in _SCRATCH.items() if of() is df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import batch_column, stored
+from corpusmill.llm.common import batch_column, discard, stored
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,4 +60,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         roots = stars.select(F.col("dst").alias("src")).distinct()
         if sources["n"] == sources["vertices"] and stars.join(roots, "src", "left_semi").isEmpty():
             return stars.select(F.col("src").alias("id"), F.col("dst").alias("root"))
-        stars = stored(_small_star(_large_star(stars)))
+        last, stars = stars, stored(_small_star(_large_star(stars)))
+        discard(last)

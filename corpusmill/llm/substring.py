@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import BLANKS, WordHasher, batch_column, bounded_batches, golden, grams, mixed, signed, slices, stored, text_bytes
+from corpusmill.llm.common import BLANKS, WordHasher, batch_column, bounded_batches, discard, golden, grams, mixed, signed, slices, stored, text_bytes
 
 WINDOW, ANCHOR = 13, 5
 #: Windows whose words travel together as one passage.
@@ -341,7 +341,9 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     several = F.col("first_doc") < F.col("last_doc")
     span = [F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")]
-    anchors = Filter(stored(_scan(texts, hash_bits, new_anchors, of="anchors").groupBy("value").agg(*span).where(several).select("value")))
+    table = stored(_scan(texts, hash_bits, new_anchors, of="anchors").groupBy("value").agg(*span).where(several).select("value"))
+    anchors = Filter(table)
+    discard(table)
     found = _scan(texts, hash_bits, lambda w: np.flatnonzero(anchors(w.anchors))).groupBy("value")
     recurring = stored(found.agg(*span, F.min_by("block", "doc_id").alias("block"), F.count("*").alias("n")).where(several).select("value", "first_doc", "block", "n"))
     repeated, hot = Filter(recurring), Filter(recurring.where(F.col("n") >= HOT_WINDOW))
@@ -359,6 +361,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     is_whole = F.coalesce(F.array_contains("whole_texts", F.md5(F.col("text").cast("binary"))), F.lit(False))
     judged = marked.select(F.col("doc_id").alias("id"), "text", "passages", F.coalesce("flagged", F.lit(0)).alias("flagged"), is_whole.alias("whole"))
     located = stored(judged.mapInArrow(_locate(hash_bits), _LOCATED), "zstd")
-    if not located.where("unsure is not null").isEmpty():
+    if located.where("unsure is not null").isEmpty():
+        discard(copies, recurring, occurring, pairs)
+    else:
         located = _resolved(located, texts, judged, hash_bits)
     return located.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_text")
