@@ -27,13 +27,15 @@ THRESHOLD = 0.5
 #: Decimals of a score: below them it may depend on what is scored beside it.
 DIGITS = 6
 #: Bytes of text and windows scored at once.
-SCORE_BYTES, SCORE_WINDOWS = 1 << 19, 2048
+SCORE_BYTES, SCORE_WINDOWS = 1 << 19, 4096
 
 
 @dataclass
 class Words:
-    """bucket: of each word; grams: buckets of all character grams, with each word's first in gram_at; first: as in WordHasher."""
+    """kind: the number of each word among the distinct ones; bucket: of each distinct word; grams: buckets of all their character
+    grams, with each one's first in gram_at; first: as in WordHasher."""
 
+    kind: np.ndarray
     bucket: np.ndarray
     grams: np.ndarray
     gram_at: np.ndarray
@@ -49,6 +51,8 @@ def _hasher() -> WordHasher:
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     """Words of letters and digits in lower case; grams are GRAM bytes from one before the word's start to one after its end."""
     words, starts, lengths, first = _hasher().hashes(data, offsets)
+    words, at, kind = np.unique(words, return_index=True, return_inverse=True)
+    starts, lengths = starts[at], lengths[at]
     rng = np.random.default_rng(6)
     # A gram's bytes outside its word count as a mark.
     values = rng.integers(0, 2**63, (GRAM, 257), np.uint64)
@@ -63,15 +67,16 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         at = inside - 1 + k
         own = (at >= 0) & (at < length)
         sums += values[k][np.where(own, data[np.minimum(begin + np.maximum(at, 0), max(len(data) - 1, 0))], 256)] if total else 0
-    return Words((words >> np.uint64(48)).astype(np.uint16) & np.uint16(WORD_BUCKETS - 1), (mixed(sums) >> np.uint64(48)).astype(np.uint16) & np.uint16(CHAR_BUCKETS - 1), gram_at, first)
+    return Words(kind, (words >> np.uint64(48)).astype(np.uint16) & np.uint16(WORD_BUCKETS - 1), (mixed(sums) >> np.uint64(48)).astype(np.uint16) & np.uint16(CHAR_BUCKETS - 1), gram_at, first)
 
 
 def read_slices(data: np.ndarray, offsets: np.ndarray) -> Words:
     """read_words() in slices, so that only its short result is held for all texts."""
     parts = [read_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, SCORE_BYTES)]
-    grams, words = np.cumsum([0, *(len(p.grams) for p in parts)]), np.cumsum([0, *(len(p.bucket) for p in parts)])
+    grams, words, kinds = (np.cumsum([0, *(len(getattr(p, n)) for p in parts)]) for n in ("grams", "kind", "bucket"))
     empty = np.zeros(0, np.uint16)
     return Words(
+        np.concatenate([np.zeros(0, np.int64), *(p.kind + k for p, k in zip(parts, kinds, strict=False))]),
         np.concatenate([empty, *(p.bucket for p in parts)]),
         np.concatenate([empty, *(p.grams for p in parts)]),
         np.concatenate([np.zeros(0, np.int64), *(p.gram_at + g for p, g in zip(parts, grams, strict=False))]),
@@ -99,16 +104,19 @@ def training_starts(first: np.ndarray, rng: np.random.Generator) -> tuple[np.nda
     return (begin + first[:-1][text])[new], text[new]
 
 
-def window_words(first: np.ndarray, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Word numbers of each window, -1 where it has none."""
+def window_words(w: Words, begin: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Numbers of each window's words among the distinct ones, -1 where it has none."""
     at = begin[:, None] + np.arange(WINDOW)
-    return np.where(at < first[1:][text][:, None], at, -1)
+    inside = at < w.first[1:][text][:, None]
+    out = np.full(at.shape, -1)
+    out[inside] = w.kind[at[inside]]
+    return out
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all windows and the text of each."""
-    begin, text = window_starts(first)
-    return window_words(first, begin, text), text
+def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """window_words() of all windows and the text of each."""
+    begin, text = window_starts(w.first)
+    return window_words(w, begin, text), text
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -135,7 +143,7 @@ class Network:
         self.step = 0
 
     def inputs(self, w: Words) -> np.ndarray:
-        """A row for each word, and a row of zeros at last for what is outside a window."""
+        """A row for each distinct word, and a row of zeros at last for what is outside a window."""
         x = np.zeros((len(w.bucket) + 1, WORD_DIM + CHAR_DIM), np.float32)
         if len(w.bucket):
             x[:-1, :WORD_DIM] = self.p["word"][w.bucket]
@@ -172,24 +180,36 @@ class Network:
         pooled = np.einsum("tn,tnk->nk", weight, hidden)
         return pooled @ p["o"] + p["c"][0], {"memory": memory, "hidden": hidden, "weight": weight, "pooled": pooled, "x": x, "at": at} if keep else {}
 
-    def slide(self, w: Words) -> np.ndarray:
+    def sliding_gates(self, w: Words) -> np.ndarray:
+        """What slide() needs of each distinct word: direction, gate, word."""
+        p, h = self.p, HIDDEN
+        gates = np.matmul(self.inputs(w)[:-1][None], p["w"]) + p["b"]
+        gates[..., : 2 * h] -= p["u"][:, :, : 2 * h].sum(axis=1, keepdims=True)
+        return np.ascontiguousarray((gates * np.repeat(np.array([1, -1, -2], np.float32), h)).transpose(0, 2, 1))
+
+    def slide(self, gates: np.ndarray) -> np.ndarray:
         """Logits of the full windows from each word on, whatever texts they lie in: forward() with a column for each window.
 
         The words of all windows' step t are one stretch, so nothing is gathered; of a state only its energy and its part of the
-        output are kept. All is written with 1 / (1 + exp), half as dear as tanh: 1 - z is 1 / (1 + exp(x)), tanh(x) is 2 / (1 + exp(-2x)) - 1.
+        output are kept. All is written with 1 / (1 + exp), half as dear as tanh: 1 - z is 1 / (1 + exp(x)), tanh(x) is
+        2 / (1 + exp(-2x)) - 1, and the state is kept as (1 + state) / 2, for which that is 1 / (1 + exp(-2x)).
         """
-        p, h, n = self.p, HIDDEN, len(w.bucket) - WINDOW + 1
-        scale = np.repeat(np.array([1, -1, -2], np.float32), h)
-        gates = np.ascontiguousarray(((np.matmul(self.inputs(w)[:-1][None], p["w"]) + p["b"]) * scale).transpose(0, 2, 1))
+        p, h, n = self.p, HIDDEN, gates.shape[-1] - WINDOW + 1
+        scale = np.repeat(np.array([1, -1, -2], np.float32), h)[:, None]
         energy, value = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
         for d in range(2):
-            read = np.stack([p["a"][d * h : (d + 1) * h], p["o"][d * h : (d + 1) * h]])
-            both = np.concatenate([p["u"][d].T * scale[:, None], read])
-            state, r = np.zeros((h, n), np.float32), np.empty((3 * h + 2, n), np.float32)
+            both = np.concatenate([p["u"][d].T * scale, p["a"][None, d * h : (d + 1) * h], p["o"][None, d * h : (d + 1) * h]])
+            # Twice the half state less one: what the one takes off stands in the gates, or in a column for a row of ones.
+            off = -both.sum(axis=1, keepdims=True)
+            off[: 2 * h] = 0
+            both = np.concatenate([2 * both, off], axis=1).astype(np.float32)
+            half, r = np.full((h + 1, n), 0.5, np.float32), np.empty((3 * h + 2, n), np.float32)
+            half[h] = 1
+            state = half[:h]
             order = range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1)
             before = None
             for t in order:
-                np.matmul(both, state, out=r)
+                np.matmul(both, half, out=r)
                 if before is not None:
                     energy[before] += r[3 * h]
                     value[before] += r[3 * h + 1]
@@ -202,13 +222,11 @@ class Network:
                         np.exp(x, out=x)
                     x += 1
                     np.reciprocal(x, out=x)
-                fresh *= 2
-                fresh -= 1
                 fresh -= state
                 fresh *= zr[:h]
                 state += fresh
                 before = t
-            last = read @ state
+            last = both[3 * h :] @ half
             energy[before] += last[0]
             value[before] += last[1]
         energy -= energy.max(axis=0)
@@ -280,14 +298,13 @@ def all_logits(model: Network, w: Words) -> tuple[np.ndarray, np.ndarray]:
     rows = np.flatnonzero(short)
     for a in range(0, len(rows), 4096):
         own = rows[a : a + 4096]
-        out[own] = _window_logits(model, w, window_words(w.first, begin[own], text[own]))
+        out[own] = _window_logits(model, w, window_words(w, begin[own], text[own]))
     rows = np.flatnonzero(~short)
     if len(rows):
-        slid, marks = np.empty(len(w.bucket), np.float32), np.append(w.gram_at, len(w.grams))
-        for a in range(0, len(w.bucket) - WINDOW + 1, SCORE_WINDOWS):
-            b = min(a + SCORE_WINDOWS + WINDOW - 1, len(w.bucket))
-            part = Words(w.bucket[a:b], w.grams[marks[a] : marks[b]], marks[a:b] - marks[a], np.array([0, b - a]))
-            slid[a : b - WINDOW + 1] = model.slide(part)
+        slid, gates = np.empty(len(w.kind), np.float32), model.sliding_gates(w)
+        for a in range(0, len(w.kind) - WINDOW + 1, SCORE_WINDOWS):
+            b = min(a + SCORE_WINDOWS + WINDOW - 1, len(w.kind))
+            slid[a : b - WINDOW + 1] = model.slide(np.take(gates, w.kind[a:b], axis=2))
         out[rows] = slid[begin[rows]]
     return out, text
 
@@ -316,7 +333,7 @@ def fit(w: Words, labels: np.ndarray, rounds: int = ROUNDS, seed: int = 0) -> Ne
     for k in range(rounds):
         # Windows from other words on in each round, so that they are learnt wherever they begin.
         begin, text = training_starts(w.first, rng)
-        at, toxic = window_words(w.first, begin, text), labels[text] == 1
+        at, toxic = window_words(w, begin, text), labels[text] == 1
         logits = rng.normal(0, 1, len(text))
         if k:
             logits = np.concatenate([_window_logits(model, w, at[a : a + 4096]) for a in range(0, len(at), 4096)])
@@ -348,7 +365,7 @@ def _pick(w: Words, at: np.ndarray) -> tuple[Words, np.ndarray]:
     counts = np.diff(np.append(w.gram_at, len(w.grams)))[used]
     begin = np.cumsum(counts) - counts
     grams = w.grams[np.repeat(w.gram_at[used] - begin, counts) + np.arange(int(counts.sum()))]
-    return Words(w.bucket[used], grams, begin, np.array([0, len(used)])), own
+    return Words(np.arange(len(used)), w.bucket[used], grams, begin, np.array([0, len(used)])), own
 
 
 def _window_logits(model: Network, w: Words, at: np.ndarray) -> np.ndarray:
@@ -357,7 +374,8 @@ def _window_logits(model: Network, w: Words, at: np.ndarray) -> np.ndarray:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, toxic_limit: int = MAX_TOXIC) -> Network:
-    """Learns on the driver from whole texts of at most limit documents, of them at most toxic_limit toxic ones."""
+    """Learns on the driver from whole texts of at most limit documents, of them at most toxic_limit toxic ones, with MAX_BYTES
+    together at most."""
     rows = training_texts(docs, labels, "toxic", limit, toxic_limit).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     data, offsets = text_bytes(pa.array([r["text"] for r in rows], pa.large_string()))
@@ -385,8 +403,9 @@ class Scorer:
 def score_toxicity(docs: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, held_out, score and predicted of each row of docs.
 
-    Null and empty texts get the score of a window without words. Repeated rows and null ids each give their own row; other
-    columns are not read, nor is the id an input of the score; an empty table gives no rows.
+    Null and empty texts get the score of a window without words; of texts of any length all windows are scored. Repeated rows and
+    null ids each give their own row; equal texts have equal scores, which may tie. Other columns are not read, nor is the id an
+    input of the score; an empty table gives no rows.
     """
     chosen, scorer = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), Scorer(model)
 
