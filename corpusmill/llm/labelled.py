@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import bounded_batches, crc_fold
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, per_class: int | None = None, keep: Column | None = None) -> DataFrame:
+#: Bytes of text that a classifier learns from at most.
+MAX_BYTES = 64 << 20
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, per_class: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """text and label (0 or 1) of at most limit labelled documents outside the held-out fold, the first by a hash of the id.
 
-    per_class bounds each label's documents too. Documents without text, null ids and labels other than 0 and 1 are left out; of
+    per_class bounds the documents with label 1 too; of the documents in that order, those stay whose texts, and all before, have
+    max_bytes together at most. Documents without text, null ids and labels other than 0 and 1 are left out; of
     several labels of one id the largest counts.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (crc_fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -23,4 +28,5 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, p
     # At most limit rows of two numbers: small enough for every executor, whatever the corpus.
     own = bounded_batches(docs).select(F.col("doc_id").alias("own_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     found = own.join(F.broadcast(picked), own["own_id"] == picked["doc_id"])
-    return found.select(F.col("own_id").alias("doc_id"), "text", "label")
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order, "text"))
+    return found.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select(F.col("own_id").alias("doc_id"), "text", "label")

@@ -16,7 +16,7 @@ from corpusmill.llm.common import BLANKS, WordHasher, batch_column, bounded_batc
 from corpusmill.llm.labelled import training_texts
 
 #: Buckets of hashed words, factors, labelled documents to learn from at most, passes over them.
-BUCKETS, FACTORS, MAX_TRAINING, EPOCHS = 1 << 14, 8, 8_000, 20
+BUCKETS, FACTORS, MAX_TRAINING, EPOCHS = 1 << 18, 8, 8_000, 20
 THRESHOLD = 0.3
 #: Decimals of a score: below them it may depend on what is scored beside it.
 DIGITS = 6
@@ -36,10 +36,12 @@ def _distinct(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Features:
-    """stats: a row for each text; words: buckets of all words; first: where each text's words begin, with the end at last."""
+    """stats: a row for each text; words: the distinct buckets of each text's words; share: how many of its words are in the bucket,
+    of 1; first: where each text's buckets begin, with the end at last."""
 
     stats: np.ndarray
     words: np.ndarray
+    share: np.ndarray
     first: np.ndarray
 
 
@@ -76,12 +78,17 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Features:
         histogram[:, 128:].sum(1) / size,
     ]
     marks = np.log1p(histogram[:, _MARKS] / size[:, None] * 200)
-    return Features(np.column_stack([*stats, marks]).astype(np.float32), (words >> np.uint64(50)).astype(np.int64) % BUCKETS, first)
+    keys, times = np.unique(text_of_word << 18 | (words >> np.uint64(46)).astype(np.int64), return_counts=True)
+    share = (times / np.maximum(n_words, 1)[keys >> 18]).astype(np.float32)
+    return Features(np.column_stack([*stats, marks]).astype(np.float32), keys & (BUCKETS - 1), share, np.searchsorted(keys >> 18, np.arange(n + 1)))
 
 
 @dataclass
 class FactorisationMachine:
-    """score = b + sum of w x + 1/2 sum over factors of ((sum of v x)^2 - sum of v^2 x^2); x: words' shares and scaled statistics."""
+    """score = b + sum of w x + 1/2 sum over factors of ((sum of v x)^2 - sum of v^2 x^2); x: buckets' shares and scaled statistics.
+
+    A bucket is one input however often its words occur, so it does not interact with itself.
+    """
 
     mean: np.ndarray
     scale: np.ndarray
@@ -94,17 +101,15 @@ class FactorisationMachine:
     def _sums(self, f: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(f.first) - 1
         x = np.clip((f.stats - self.mean) / self.scale, -REACH, REACH)
-        count = np.diff(f.first)
-        share = 1 / np.maximum(count, 1)[:, None]
         sums, squares, linear = np.zeros((n, FACTORS)), np.zeros((n, FACTORS)), np.zeros(n)
-        full = np.flatnonzero(count)
+        full = np.flatnonzero(np.diff(f.first))
         if len(full):
             begin = f.first[:-1][full]
-            table = np.column_stack([self.word_w, self.word_v]).astype(np.float32)[f.words]
-            both = np.add.reduceat(table, begin, axis=0)
-            linear[full], sums[full] = both[:, 0], both[:, 1:]
-            squares[full] = np.add.reduceat(table[:, 1:] ** 2, begin, axis=0)
-        sums, squares, linear = sums * share, squares * share**2, linear * share[:, 0]
+            linear[full] = np.add.reduceat(self.word_w[f.words] * f.share, begin)
+            vx = self.word_v[f.words] * f.share[:, None]
+            sums[full] = np.add.reduceat(vx, begin, axis=0)
+            vx *= vx
+            squares[full] = np.add.reduceat(vx, begin, axis=0)
         return x, sums + x @ self.stat_v, squares + x**2 @ self.stat_v**2, linear + x @ self.stat_w
 
     def logits(self, f: Features) -> np.ndarray:
@@ -120,72 +125,82 @@ def _part(f: Features, rows: np.ndarray) -> Features:
     counts = np.diff(f.first)[rows]
     first = np.concatenate([[0], np.cumsum(counts)])
     at = np.repeat(f.first[:-1][rows] - first[:-1], counts) + np.arange(first[-1])
-    return Features(f.stats[rows], f.words[at], first)
+    return Features(f.stats[rows], f.words[at], f.share[at], first)
+
+
+def gradients(model: FactorisationMachine, f: Features, labels: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+    """Of the mean loss, without penalties; those of words are given for the buckets that occur, which come second; the bias's last."""
+    x, sums, squares, linear = model._sums(f)
+    wrong = (sigmoid(model.bias + linear + 0.5 * (sums**2 - squares).sum(axis=1)) - labels) / len(labels)
+    used, back = np.unique(f.words, return_inverse=True)
+    text = np.repeat(np.arange(len(labels)), np.diff(f.first))
+    each = wrong[text] * f.share
+    again = np.bincount(back, each * f.share, len(used))
+    by_factor = [np.bincount(back, each * sums[text, k], len(used)) for k in range(FACTORS)]
+    out = {
+        "stat_w": x.T @ wrong,
+        "stat_v": x.T @ (wrong[:, None] * sums) - model.stat_v * ((x**2).T @ wrong)[:, None],
+        "word_w": np.bincount(back, each, len(used)),
+        "word_v": np.column_stack(by_factor) - model.word_v[used] * again[:, None],
+    }
+    return out, used, float(wrong.sum())
 
 
 def fit(f: Features, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 0) -> FactorisationMachine:
-    """Learns by Adam on batches. With one label only, or no rows, the scores are the smoothed share of label 1."""
+    """Learns by Adam on batches; a bucket's weights and moments change in the batches that hold it. With one label only, or no
+    rows, the scores are the smoothed share of label 1."""
     rng, n = np.random.default_rng(seed), len(labels)
     share = (labels.sum() + 1) / (n + 2)
     spread = f.stats.std(axis=0) if n else np.ones(N_STATS)
-    model = FactorisationMachine(f.stats.mean(axis=0) if n else np.zeros(N_STATS), np.where(spread > 1e-6, spread, 1), float(np.log(share / (1 - share))), np.zeros(BUCKETS), rng.normal(0, 0.01, (BUCKETS, FACTORS)), np.zeros(N_STATS), rng.normal(0, 0.01, (N_STATS, FACTORS)))
+    real = lambda *shape: rng.normal(0, 0.01, shape).astype(np.float32)
+    model = FactorisationMachine(f.stats.mean(axis=0) if n else np.zeros(N_STATS), np.where(spread > 1e-6, spread, 1), float(np.log(share / (1 - share))), np.zeros(BUCKETS, np.float32), real(BUCKETS, FACTORS), np.zeros(N_STATS), real(N_STATS, FACTORS).astype(float))
     if len(set(labels.tolist())) < 2:
         model.word_v[:], model.stat_v[:] = 0, 0
         return model
     names = ("word_w", "word_v", "stat_w", "stat_v")
     moments = {k: [np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))] for k in names}
-    step = 0
-    epochs = max(epochs, min(60, 40_000 // n))
-    for _ in range(epochs):
+    step, every = 0, np.arange(N_STATS)
+    for _ in range(max(epochs, min(60, 40_000 // n))):
         order = rng.permutation(n)
         for low in range(0, n, 256):
-            own = _part(f, order[low : low + 256])
-            y, m = labels[order[low : low + 256]], len(own.first) - 1
-            x, sums, squares, linear = model._sums(own)
-            wrong = (sigmoid(model.bias + linear + 0.5 * (sums**2 - squares).sum(axis=1)) - y) / m
-            counts = np.diff(own.first)
-            each = np.repeat(wrong / np.maximum(counts, 1), counts)
-            shares = np.repeat(1 / np.maximum(counts, 1), counts)
-            grads = {"stat_w": x.T @ wrong + PENALTY * model.stat_w, "word_w": np.bincount(own.words, each, BUCKETS) + 1e-5 * model.word_w}
-            grads["stat_v"] = x.T @ (wrong[:, None] * sums) - model.stat_v * ((x**2).T @ wrong)[:, None] + PENALTY * model.stat_v
-            inner = each * shares
-            again = np.bincount(own.words, inner, BUCKETS)
-            by_factor = np.repeat(sums, counts, axis=0)
-            grads["word_v"] = np.column_stack([np.bincount(own.words, each * by_factor[:, k], BUCKETS) for k in range(FACTORS)]) - model.word_v * again[:, None] + 1e-5 * model.word_v
+            rows = order[low : low + 256]
+            grads, used, bias = gradients(model, _part(f, rows), labels[rows])
             step += 1
             for k in names:
-                m1, m2 = moments[k]
-                m1 += 0.1 * (grads[k] - m1)
-                m2 += 0.001 * (grads[k] ** 2 - m2)
-                rate = 0.02 / (1 - 0.9**step)
-                getattr(model, k)[...] -= rate * m1 / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-            model.bias -= 0.02 * float(wrong.sum())
+                at, penalty = (used, 1e-5) if k.startswith("word") else (every, PENALTY)
+                value, (m1, m2) = getattr(model, k), moments[k]
+                g = grads[k] + penalty * value[at]
+                m1[at] += 0.1 * (g - m1[at])
+                m2[at] += 0.001 * (g**2 - m2[at])
+                value[at] -= (0.02 / (1 - 0.9**step) * m1[at] / (np.sqrt(m2[at] / (1 - 0.999**step)) + 1e-8)).astype(value.dtype)
+            model.bias -= 0.02 * bias
     return model
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> FactorisationMachine:
-    """Features are made on the executors; the driver learns from those of at most limit documents."""
+    """Features are made on the executors; the driver learns from those of at most limit documents and MAX_BYTES of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch_column(batch, "text"))
-            f = features(data, offsets)
-            own = [f.words[a:b].astype("<u2").tobytes() for a, b in zip(f.first[:-1], f.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch_column(batch, "doc_id").cast(pa.string()), pa.array(f.stats.tolist(), pa.list_(pa.float32())), pa.array(own, pa.binary()), batch_column(batch, "label")], ["id", "stats", "words", "label"])
+            f = features(*text_bytes(batch_column(batch, "text")))
+            own = [(f.words[a:b].astype("<u4").tobytes(), f.share[a:b].astype("<f4").tobytes()) for a, b in zip(f.first[:-1], f.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch_column(batch, "doc_id").cast(pa.string()), pa.array(f.stats.tolist(), pa.list_(pa.float32())), pa.array([w for w, _ in own], pa.binary()), pa.array([x for _, x in own], pa.binary()), batch_column(batch, "label")], ["id", "stats", "words", "share", "label"])
 
-    rows = training_texts(docs, labels, "quality", limit).mapInArrow(run, "id string, stats array<float>, words binary, label int").collect()
-    rows.sort(key=lambda r: (r["id"], r["words"]))
-    words = [np.frombuffer(r["words"], "<u2") for r in rows]
+    rows = training_texts(docs, labels, "quality", limit).mapInArrow(run, "id string, stats array<float>, words binary, share binary, label int").collect()
+    rows.sort(key=lambda r: (r["id"], r["words"], r["share"]))
+    words = [np.frombuffer(r["words"], "<u4").astype(np.int64) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     stats = np.array([r["stats"] for r in rows], np.float32).reshape(len(rows), N_STATS)
-    return fit(Features(stats, np.concatenate([np.zeros(0, np.int64), *words]).astype(np.int64), first), np.array([r["label"] for r in rows], int))
+    share = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r["share"], "<f4") for r in rows)])
+    return fit(Features(stats, np.concatenate([np.zeros(0, np.int64), *words]), share, first), np.array([r["label"] for r in rows], int))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, held_out, score and predicted of each row of docs.
 
-    Null and empty texts get the score of a text without words. Repeated rows and null ids each give their own row; other columns
-    are not read, nor is the id an input of the score; an empty table gives no rows.
+    Null and empty texts get the score of a text without words; texts of any length are taken whole. Repeated rows and null ids
+    each give their own row; equal texts have equal scores, which may tie. Other columns are not read, nor is the id an input of
+    the score; an empty table gives no rows.
     """
     chosen = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import quality, toxicity
 from corpusmill.llm.common import text_bytes
+from corpusmill.llm.labelled import training_texts
 from corpusmill.llm.queries import op4_quality, op6_toxicity
 from tests.llm.tables import EDGE_TEXTS, edge_docs, no_docs, table
 
@@ -68,11 +69,17 @@ def test_toxicity_learns_words_and_stems():
     assert np.allclose(toxicity.Scorer(again)(pa.array(fresh)), toxicity.Scorer(model)(pa.array(fresh)))
 
 
+def plain_words(*ends):
+    """Texts of distinct words that end there."""
+    every = np.arange(ends[-1])
+    return toxicity.Words(every, every, every, every, np.array([0, *ends]))
+
+
 def test_gradients():
     """Against differences of the loss."""
     data, offsets = text_bytes(pa.array(["one two three four", "five six", "one six seven eight nine ten"]))
     words = toxicity.read_words(data, offsets)
-    at, _ = toxicity.windows(words.first)
+    at, _ = toxicity.windows(words)
     model, labels = toxicity.Network(3), np.array([1.0, 0.0, 1.0])
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     model.p["word"] *= 50
@@ -94,11 +101,24 @@ def test_gradients():
             down = loss()
             flat[i] = old
             assert abs((up - down) / (2 * step) - g[i]) < 2e-2 * (1 + abs(g[i])), name
+    # The tables: all rows that occur, and some that do not.
+    for name, used in (("word", words.bucket), ("char", words.grams)):
+        rows, table_, g = np.unique(used), model.p[name], grads[name]
+        assert not np.delete(g, rows, axis=0).any()
+        for row in rows[:6].tolist():
+            for k in (0, table_.shape[1] - 1):
+                old, step = table_[row, k], 1e-2
+                table_[row, k] = old + step
+                up = loss()
+                table_[row, k] = old - step
+                down = loss()
+                table_[row, k] = old
+                assert abs((up - down) / (2 * step) - g[row, k]) < 2e-2 * (1 + abs(g[row, k])), name
 
 
 def test_every_window_is_scored():
     for n in (0, 1, 23, 24, 25, 42, 43, 500):
-        at, text = toxicity.windows(np.array([0, n, n + 3]))
+        at, text = toxicity.windows(plain_words(n, n + 3))
         assert at[text == 0][:, 0].tolist() == ([-1] if n == 0 else list(range(max(1, n - 23))))
 
 
@@ -107,7 +127,7 @@ def test_sliding_scores_are_those_of_the_network():
     words, model = toxicity.read_words(data, offsets), toxicity.Network(3)
     model.p["word"] *= 50
     model.p["char"] *= 50
-    at, text = toxicity.windows(words.first)
+    at, text = toxicity.windows(words)
     logits, of = toxicity.all_logits(model, words)
     assert (of == text).all()
     assert np.allclose(logits, model.forward(model.inputs(words), at)[0], atol=1e-4)
@@ -127,27 +147,75 @@ def test_score_does_not_hang_on_the_words_before():
 
 def test_windows_cover_all_words():
     for n in (0, 1, 23, 24, 25, 42, 43, 500):
-        at, text = toxicity.windows(np.array([0, n, n + 3]))
+        at, text = toxicity.windows(plain_words(n, n + 3))
         assert set(at[text == 0][at[text == 0] >= 0]) == set(range(n))
         assert (text == 1).sum() == 1
         assert (text == 0).sum() >= 1
 
 
+def bag(text):
+    """Buckets of a text's words with their shares, read apart from features()."""
+    words = text.lower().split()
+    f = lambda w: int(quality.features(*text_bytes(pa.array([w]))).words[0])
+    return {f(w): words.count(w) / len(words) for w in set(words)}
+
+
 def test_sum_of_squares_identity():
-    data, offsets = text_bytes(pa.array(["a b c b", "", "d !! d\nd"]))
-    f = quality.features(data, offsets)
+    """The score against the sum over all pairs of distinct inputs, words that occur often among them."""
+    texts = ["a b c b", "", "d !! d\nd", "a", "a a a a"]
+    f = quality.features(*text_bytes(pa.array(texts)))
     rng = np.random.default_rng(0)
-    m = quality.fit(f, np.array([1, 0, 1]), epochs=1)
+    m = quality.fit(f, np.array([1, 0, 1, 0, 1]), epochs=1)
     m.word_v[:], m.stat_v[:] = rng.normal(size=m.word_v.shape), rng.normal(size=m.stat_v.shape)
     x = np.clip((f.stats - m.mean) / m.scale, -quality.REACH, quality.REACH)
     for i, got in enumerate(m.logits(f)):
-        words = f.words[f.first[i] : f.first[i + 1]]
-        v = np.concatenate([m.stat_v * x[i][:, None], m.word_v[words] / max(len(words), 1)])
-        pairs = sum(v[a] @ v[b] for a in range(len(v)) for b in range(a))
-        linear = m.bias + m.stat_w @ x[i] + sum(m.word_w[w] for w in words) / max(len(words), 1)
+        own = bag(texts[i])
+        inputs = [(m.stat_w[k], m.stat_v[k], x[i, k]) for k in range(len(m.stat_w))] + [(m.word_w[b], m.word_v[b], n) for b, n in own.items()]
+        linear = m.bias + sum(w * y for w, _, y in inputs)
+        pairs = sum(inputs[a][1] @ inputs[b][1] * inputs[a][2] * inputs[b][2] for a in range(len(inputs)) for b in range(a))
         assert abs(got - linear - pairs) < 1e-3 * (1 + abs(got))
 
 
+def test_repetition_does_not_interact_with_itself():
+    f = quality.features(*text_bytes(pa.array(["a a a a", "a"])))
+    m = quality.fit(f, np.array([1, 1]))
+    m.word_v[:] = 1
+    assert np.allclose(m.logits(f), m.bias)
+
+
+def test_quality_gradients():
+    f = quality.features(*text_bytes(pa.array(["a b c b", "", "d !! d\nd", "b a"])))
+    labels, rng = np.array([1, 0, 1, 0]), np.random.default_rng(1)
+    m = quality.fit(f, labels, epochs=1)
+    m.word_v, m.stat_v, m.word_w = rng.normal(size=m.word_v.shape), rng.normal(size=m.stat_v.shape) * 0.1, rng.normal(size=m.word_w.shape)
+
+    def loss():
+        p = quality.sigmoid(m.logits(f))
+        return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean()
+
+    grads, used, _ = quality.gradients(m, f, labels)
+    for name, rows in (("stat_w", range(0, quality.N_STATS, 7)), ("stat_v", range(0, quality.N_STATS, 7)), ("word_w", range(len(used))), ("word_v", range(len(used)))):
+        for row in rows:
+            values, at = getattr(m, name), used[row] if name.startswith("word") else row
+            where = (at, 2) if values.ndim == 2 else (at,)
+            old, step = values[where], 1e-4
+            values[where] = old + step
+            up = loss()
+            values[where] = old - step
+            down = loss()
+            values[where] = old
+            assert abs((up - down) / (2 * step) - (grads[name][row, 2] if values.ndim == 2 else grads[name][row])) < 1e-4, name
+
+
+def test_training_texts_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    every = training_texts(docs, labels, "quality", 1000)
+    assert every.count() == sum(not held_out(i) for i in range(50))
+    assert training_texts(docs, labels, "quality", 1000, max_bytes=550).count() == 5
+    assert training_texts(docs, labels, "quality", 7).count() == 7
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 1), (5, 0, 0), (7, 1, 1), (8, 0, None), (None, 1, 1), (9, 3, 0)], "doc_id long, quality int, toxic int")
     docs = edge_docs(spark)
