@@ -27,7 +27,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(F.col("pii_spans"), lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     found = detect_pii(load(spark, sf_dir, "documents"))
-    return found.select("doc_id", *map(count, BASE), F.sha2(span_digest(BASE), 256).alias("base_sha256"), span_digest(KINDS).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(span_digest(BASE), 256).alias("base_sha256"), span_digest(KINDS).alias("spans"), F.array_join(F.transform("pii_spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ def test_query_equals_brute_force(spark, sf_dir):
         assert row["base_sha256"] == sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert [row[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x[0] == k for x in want) for k in ("email", "ip", "card", "phone")]
         assert set(row["spans"].split(",")) >= {f"{k}:{a}:{b}" for k, a, b in want}
+        assert row["scores"] == ",".join(f"{s.score:.2f}" for s in find_spans(r["text"]))
     assert found
 
 
@@ -55,6 +56,23 @@ def test_validators_and_context():
     assert near.score > far.score
 
 
+def test_context_is_whole_words():
+    score = lambda t: find_spans(t)[0].score
+    plain = score("at 10.0.0.1 now")
+    assert score("ip 10.0.0.1") > plain and score("10.0.0.1, the server") > plain
+    # "ip" in a ship, and a word that the distance cuts down to "ip".
+    assert score("a ship 10.0.0.1") == plain
+    assert score("ship" + " " * 38 + "10.0.0.1") == plain
+    assert score("ip" + " " * 38 + "10.0.0.1") > plain
+    assert score("version 10.0.0.1") < plain
+    assert kinds_of("the machine 00:1a:2b:3c:4d:5e") == []
+    assert kinds_of("the mac 00:1a:2b:3c:4d:5e") == ["mac"]
+
+
+def kinds_of(text):
+    return [s.kind for s in find_spans(text)]
+
+
 def test_redaction():
     text = "é mail a@b.co or b@c.de, call +1 650 555 0100"
     assert redacted(text, find_spans(text)) == "é mail <email> or <email>, call <phone>"
