@@ -14,8 +14,9 @@ from corpusmill.llm.common import ascii_lower, stored
 
 #: verdict, host, path. Fixed values.
 BASE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Share of the labelled urls that a combination needs, share of its urls with the verdict.
-MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.9
+#: Share of the labelled urls that a combination needs, share of its urls with the verdict, and how many times the verdict's share
+#: in all labelled urls that must be.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.02, 0.9, 1.2
 DEFAULT = "allow"
 _PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -71,16 +72,26 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(made)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[TokenRule]:
+def named_tokens(rules: tuple = BASE_RULES) -> list[str]:
+    """The tokens that the base rules themselves are made of. What follows from them is no more than the rules' own shape."""
+    out = set()
+    for _, host, path in rules:
+        *labels, last = host.split(".")
+        out |= {f"last:{last}", *(f"label:{x}" for x in labels), *(f"path:{x}" for x in path.split("/") if x)}
+    return sorted(out)
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> list[TokenRule]:
     """Rules from token combinations to a verdict, mined from (tokens, verdict) by FP-growth.
 
     A rule is pruned if one with fewer of its tokens has its verdict and no lower confidence. No url loses a frequent token and no
     rule is left out otherwise. The miner does not see tokens whose combinations are all pruned: those of one verdict only and those
     of all urls are rules by themselves, and of tokens that occur in the same urls one stands for all.
     """
-    n = labelled.count()
+    n, n_blocked = labelled.agg(F.count("*"), F.count_if(F.col("verdict") == "block")).first()
     if not n:
         return []
+    lifted = {"block": min_lift * n_blocked / n, "allow": min_lift * (n - n_blocked) / n}
     # Sums of both halves of a hash of the url's tokens tell in which urls a token is.
     hashed = labelled.select(F.explode("tokens").alias("token"), "verdict", F.xxhash64("tokens").alias("h"))
     counts = hashed.groupBy("token").agg(
@@ -102,14 +113,14 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
             mixed[own[0]] = own
             continue
         for verdict, count in (("block", blocked), ("allow", all_of - blocked)):
-            if count >= least and count / all_of >= min_confidence:
+            if count >= least and count / all_of >= max(min_confidence, lifted[verdict]):
                 out.append(TokenRule(own[:1], verdict, count / all_of, count / n, (own,)))
     if mixed:
         spoken = F.array(*map(F.lit, sorted(mixed)))
         baskets = labelled.select(F.array_append(F.array_intersect("tokens", spoken), F.concat(F.lit("verdict:"), "verdict")).alias("items"))
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
         rules = model.associationRules.where(F.col("consequent")[0].startswith("verdict:") & ~F.exists("antecedent", lambda x: x.startswith("verdict:")))
-        rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support"))
+        rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support").where(F.col("confidence") >= F.when(F.col("verdict") == "block", lifted["block"]).otherwise(lifted["allow"])))
         # From small to large: what is pruned by a pruned rule is also pruned by one that stayed, so only these are collected.
         stayed: dict[frozenset, list[tuple[str, float]]] = {}
         for size in sorted(r[0] for r in rules.select(F.size("tokens")).distinct().collect()):
@@ -166,13 +177,15 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """id, host, path, rule and verdict (allow or block) of each row.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. Urls that a rule fits are the
-    labels that association rules are mined from; a url without a rule gets the verdict of the best association rule that fits
-    it, or DEFAULT. Null urls and those without :// have an empty host and path and no rule. Repeated rows and null ids each
+    labels that association rules are mined from, without the tokens that the rules name; a url without a rule gets the verdict of
+    the best association rule that fits it, or DEFAULT. Of association rules that tie in confidence and support, block wins. Urls of
+    any length are taken whole. Null urls and those without :// have an empty host and path and no rule. Repeated rows and null ids each
     give their own row; other columns are not read; an empty table gives no rows.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     parsed = pages.select(F.col(id_col).alias("id"), url.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     parsed = parsed.withColumn("base", base_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
     parsed = stored(parsed.select("id", "host", "path", "base", "tokens"))
-    mined = mine_rules(parsed.where("base is not null").select("tokens", F.col("base.verdict").alias("verdict")))
+    labelled = parsed.where("base is not null").select(F.array_except("tokens", F.array(*map(F.lit, named_tokens(rules)))).alias("tokens"), F.col("base.verdict").alias("verdict"))
+    mined = mine_rules(labelled)
     return parsed.select(F.col("id").alias(id_col), "host", "path", F.col("base.rule").alias("rule"), F.coalesce(F.col("base.verdict"), match_rules(F.col("tokens"), mined), F.lit(DEFAULT)).alias("verdict"))
