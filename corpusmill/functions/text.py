@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,14 +28,25 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PRETOKEN), F.lit(0))
 
 
+@lru_cache(maxsize=1)
+def unsettled() -> str:
+    """A class of the characters that composition may change or join to the one before; a text without them is composed already.
+
+    Those are the characters that are not their own composition, all marks, and the vowels and finals of Hangul.
+    """
+    own = [unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.category(chr(c))[0] == "M" or unicodedata.combining(chr(c)) > 0 or 0x1161 <= c <= 0x11C2 for c in range(sys.maxunicode + 1)]
+    ends = [c for c in range(1, len(own) + 1) if own[c - 1] != (c < len(own) and own[c])]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b - 1:x}}}" for a, b in zip(ends[::2], ends[1::2], strict=True)) + "]"
+
+
 def nfc(text: Column) -> Column:
-    """Canonical composition. ASCII text is in it already: only other texts are handed to Python."""
+    """Canonical composition. Only texts that it may change are handed to Python."""
 
     @F.pandas_udf("string")
     def composed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return F.coalesce(composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(composed(F.when(text.rlike(unsettled()), text)), text)
 
 
 def long_enough(text: Column, min_chars: int = MIN_CHARS) -> Column:
@@ -69,17 +82,19 @@ def prompt(question: Column) -> Column:
 
 
 def replace_names(text: Column, key: Column, names: list[str], seed: int = 42) -> Column:
-    """Each distinct NAME_<n> of a text becomes a name of the list, the same one everywhere in the text.
+    """Each distinct NAME_<n> of a text becomes a name of the list, the same one everywhere in the text, another for each mark.
 
-    The name is picked by md5 of seed, key and mark, so that it depends on the conversation and is the same in every run. The
-    longest marks are replaced first: NAME_1 is the beginning of NAME_10.
+    Names follow one another in the list from a place that md5 of seed and key picks, so that they depend on the conversation and
+    are the same in every run. Marks beyond the list's length get a number behind the name. The longest marks are replaced first:
+    NAME_1 is the beginning of NAME_10.
     """
     pool = F.array(*(F.lit(n) for n in names))
     marks = F.array_distinct(F.regexp_extract_all(text, F.lit(NAME_MARK), F.lit(0)))
-    longest_first = F.reverse(F.array_sort(F.transform(marks, lambda m: F.struct(F.length(m).alias("n"), m.alias("mark")))))
+    ordered = F.array_sort(F.transform(marks, lambda m: F.struct(F.length(m).alias("n"), m.alias("mark"))))
+    first = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
-    def name_of(mark: Column) -> Column:
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), mark))
-        return F.get(pool, F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(len(names))).cast("int"))
+    def named(mark: Column, k: Column) -> Column:
+        name, again = F.get(pool, F.pmod(first + k, F.lit(len(names))).cast("int")), F.floor(k / len(names))
+        return F.struct(mark["mark"].alias("mark"), F.when(again > 0, F.concat(name, F.lit(" "), (again + 1).cast("string"))).otherwise(name).alias("name"))
 
-    return F.aggregate(longest_first, text, lambda done, m: F.replace(done, m["mark"], name_of(m["mark"])))
+    return F.aggregate(F.reverse(F.transform(ordered, named)), text, lambda done, m: F.replace(done, m["mark"], m["name"]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
-from corpusmill.functions.text import clean_text, replace_names
+from corpusmill.functions.text import clean_text, nfc, replace_names
 from corpusmill.operators import bpe, chat, corpus, counts, report, sft
 from corpusmill.session import build_session
 from corpusmill.sources import files, tokens
@@ -36,7 +36,7 @@ def _corpus(spark: SparkSession, english: str, hindi: str, n_english: int, n_hin
 
 def train_tokenizer(spark: SparkSession, english: str, hindi: str, n_english: int, n_hindi: int, vocab_size: int, out: str) -> bpe.BpeModel:
     docs = _corpus(spark, english, hindi, n_english, n_hindi, "tokenizer")
-    model = bpe.train(counts.word_counts(docs, F.col("clean")), vocab_size).with_specials(bpe.BASE_SPECIALS)
+    model = bpe.train(counts.word_counts(docs, nfc(F.col("clean"))), vocab_size).with_specials(bpe.BASE_SPECIALS)
     model.save(spark, out)
     return model
 
@@ -53,7 +53,10 @@ def build_corpus(spark: SparkSession, english: str, hindi: str, n_english: int,
 
 
 def render_all(spark: SparkSession, folder: str) -> DataFrame:
-    """dataset, path and chat of all instruction files, by the kind of their folder; unknown folders are an error."""
+    """dataset, path, row, part and chat of all instruction files, by the kind of their folder; unknown folders are an error.
+
+    row is a hash of the line, part the number of a chat among those of its line: an order that hangs on no setting of the read.
+    """
     raw = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(folder).select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("dataset"), F.input_file_name().alias("path"))
     parse = lambda schema: F.from_json("value", schema)
     m, i, p, t = parse(schemas.MESSAGES), parse(schemas.INSTRUCTION), parse(schemas.INPUT_TARGET), parse(schemas.TRANSLATION)
@@ -67,18 +70,18 @@ def render_all(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("dataset") == "nmt-seed", chat.render_translation(t["input_text"], t["output_text"]))
         .otherwise(F.raise_error(F.concat(F.lit("unknown dataset: "), "dataset")).cast("array<string>"))
     )
-    return raw.select("dataset", "path", F.explode(chats).alias("chat"))
+    return raw.select("dataset", "path", F.xxhash64("value").alias("row"), F.posexplode(chats).alias("part", "chat"))
 
 
 def build_sft(spark: SparkSession, folder: str, tokenizer: str, out: str) -> bpe.BpeModel:
     """Rendered, cleaned and encoded chats with their ids and offsets; the tokenizer with the two chat tokens is saved too."""
     model = bpe.BpeModel.load(spark, tokenizer).with_specials(bpe.CHAT_SPECIALS)
     model.save(spark, f"{out}/tokenizer")
-    chats = render_all(spark, folder).select("dataset", "path", F.monotonically_increasing_id().alias("row"), clean_text(F.col("chat")).alias("chat"))
-    encoded = chats.select("dataset", "path", "row", F.array_append(bpe.encode(F.col("chat"), model), F.lit(model.specials["<eos>"])).alias("tokens"))
+    chats = render_all(spark, folder).select("dataset", "path", "row", "part", clean_text(F.col("chat")).alias("chat"))
+    encoded = chats.select("dataset", "path", "row", "part", F.array_append(bpe.encode(F.col("chat"), model), F.lit(model.specials["<eos>"])).alias("tokens"))
     encoded.write.mode("overwrite").parquet(f"{out}/chats")
     stored = spark.read.parquet(f"{out}/chats")
-    numbered = sft.sample_offsets(stored, ["dataset", "path", "row"], F.struct("dataset", "path", F.floor(F.col("row") / 65_536)))
+    numbered = sft.sample_offsets(stored, ["dataset", "path", "row", "part"], F.struct("dataset", "path", F.shiftright("row", 54)))
     numbered.select("id", "dataset", "offset", "length", "tokens").write.mode("overwrite").parquet(f"{out}/samples")
     return model
 

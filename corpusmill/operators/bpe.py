@@ -21,12 +21,15 @@ from pyspark.sql import types as T
 from corpusmill import schemas
 from corpusmill.functions.text import nfc, pretokens
 from corpusmill.operators.counts import pair_counts, word_bytes
+from corpusmill.session import materialized
 
 #: The special tokens of the base tokenizer and of the chat tokenizer, in the order of their ids.
 BASE_SPECIALS = ("<eos>", "<bos>", "<pad>", "<unk>", "<mask>")
 CHAT_SPECIALS = ("<user>", "<assistant>")
 #: Merges up to which words are encoded by Catalyst alone; word types up to which the driver trains.
 FOLD_MERGES, DRIVER_TYPES = 1_000, 2_000_000
+#: Pairs that a distributed round looks at.
+ROUND_PAIRS = 256
 CACHED_WORDS = 200_000
 
 
@@ -115,15 +118,8 @@ class BpeModel:
 
 
 def _replace(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    out, i = [], 0
-    while i < len(ids):
-        if i + 1 < len(ids) and ids[i] == pair[0] and ids[i + 1] == pair[1]:
-            out.append(new)
-            i += 2
-        else:
-            out.append(ids[i])
-            i += 1
-    return out
+    """One merge, by the rule of _marked(): ids as text with a comma on both sides of each, replaced from the left."""
+    return [int(x) for x in f",{',,'.join(map(str, ids))},".replace(f",{pair[0]},,{pair[1]},", f",{new},")[1:-1].split(",,")]
 
 
 def _marked(ids: Column) -> Column:
@@ -141,24 +137,41 @@ def _check_size(vocab_size: int) -> int:
     return vocab_size - 256
 
 
-def train_rounds(words: DataFrame, vocab_size: int) -> BpeModel:
-    """One distributed round for each merge: count pairs, take the best, replace it in all words. words: word and n.
+def independent(pairs: Iterable[tuple[int, int]]) -> int:
+    """How many pairs, best first, can be merged in one round as if one by one: up to the first that has an id with an earlier one.
 
-    Only the winning pair reaches the driver, whatever the number of words; each round's words are written to a checkpoint when
-    the lineage has grown by eight rounds.
+    Merging a pair changes no count of pairs that share no id with it. A pair that it makes new counts no more than some pair that
+    shares an id with it did; that one comes later in the order than those taken, and so does the new pair, as its id is the highest.
+    """
+    used: set[int] = set()
+    for k, pair in enumerate(pairs):
+        if not used.isdisjoint(pair):
+            return k
+        used.update(pair)
+    return len(list(pairs))
+
+
+def train_rounds(words: DataFrame, vocab_size: int, checkpoint_every: int = 8) -> BpeModel:
+    """Distributed rounds: count pairs, take the best ones that are independent of each other, replace them in all words.
+
+    words: word and n. At most ROUND_PAIRS pairs reach the driver in a round, whatever the number of words; words without a pair
+    left are dropped; the words are written to a checkpoint when the lineage has grown by some rounds.
     """
     merges: list[Merge] = []
     rounds = _check_size(vocab_size)
     start = current = words.select("n", _marked(word_bytes(F.col("word"))).alias("ids")).persist()
-    for k in range(rounds):
-        found = pair_counts(current, _unmarked(F.col("ids"))).orderBy(F.desc("n"), "left", "right").first()
-        if found is None:
+    grown = 0
+    while len(merges) < rounds:
+        best = pair_counts(current, _unmarked(F.col("ids"))).orderBy(F.desc("n"), "left", "right").limit(ROUND_PAIRS).collect()
+        if not best:
             break
-        new = 256 + k
-        merges.append(Merge(found["left"], found["right"], new, found["n"]))
-        current = current.withColumn("ids", F.replace("ids", F.lit(f",{found['left']},,{found['right']},"), F.lit(f",{new},")))
-        if k % 8 == 7 and k + 1 < rounds and current.sparkSession.conf.get("spark.checkpoint.dir", None):
-            current = current.checkpoint()
+        for found in best[: min(independent([(r["left"], r["right"]) for r in best]), rounds - len(merges))]:
+            new = 256 + len(merges)
+            merges.append(Merge(found["left"], found["right"], new, found["n"]))
+            current = current.withColumn("ids", F.replace("ids", F.lit(f",{found['left']},,{found['right']},"), F.lit(f",{new},")))
+        grown += 1
+        if grown % checkpoint_every == 0 and len(merges) < rounds:
+            current = materialized(current.where(F.contains("ids", F.lit(",,"))))
     start.unpersist()
     return BpeModel(tuple(merges))
 

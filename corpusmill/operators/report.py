@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.order import shuffle_key
 from corpusmill.functions.text import word_count
+from corpusmill.session import materialized
 
 
 def tokens_per_word(docs: DataFrame, text: Column, n_tokens: Column, by: list[str]) -> DataFrame:
@@ -16,8 +17,11 @@ def tokens_per_word(docs: DataFrame, text: Column, n_tokens: Column, by: list[st
 
 
 def round_trip(docs: DataFrame, key: str, original: Column, decoded: Column, by: list[str], examples: int = 5) -> DataFrame:
-    """n_docs, n_failures and the first failing keys, joined by commas. The best few of each task are kept, never all."""
-    checked = docs.select(*by, F.col(key).alias("k"), (~original.eqNullSafe(decoded)).alias("failed"))
+    """n_docs, n_failures and the first failing keys, joined by commas. The best few of each task are kept, never all.
+
+    What is encoded and decoded is one flag for each document, kept for both counts and keys.
+    """
+    checked = materialized(docs.select(*by, F.col(key).alias("k"), (~original.eqNullSafe(decoded)).alias("failed")))
     counts = checked.groupBy(*by).agg(F.count("*").alias("n_docs"), F.count_if("failed").alias("n_failures"))
     first = checked.where("failed").withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("k"))).where(F.col("r") <= examples)
     shown = first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), ",").alias("first_failures"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,25 +53,48 @@ def spans(starts: DataFrame, index: DataFrame, ctx_len: int, block: int | None =
 
 
 def packed_windows(starts: DataFrame, index: DataFrame, tokens: DataFrame, ctx_len: int, eos_id: int) -> DataFrame:
-    """window_id, split, start, input_tokens, output_tokens, segment_ids and position_ids. tokens: doc_id and tokens."""
-    parts = spans(starts, index, ctx_len).join(tokens.select("doc_id", "tokens"), "doc_id")
-    cut = parts.select("window_id", "split", "start", F.struct("doc_offset", F.slice("tokens", F.col("take_from").cast("int") + 1, F.col("take").cast("int")).alias("part")).alias("p"))
+    """window_id, split, start, input_tokens, output_tokens, segment_ids and position_ids. tokens: doc_id and tokens.
+
+    Documents travel as blocks of ctx_len tokens: a window meets the few that it touches, however long the document.
+    """
+    size = max(ctx_len, 1)
+    place, last = F.col("part_no") * size, F.col("take_from") + F.col("take")
+    blocks = tokens.where(F.size("tokens") > 0).select("doc_id", F.explode(token_blocks(F.col("tokens"), size)).alias("b")).select("doc_id", F.col("b.part_no").alias("part_no"), F.col("b.block").alias("block"))
+    parts = spans(starts, index, ctx_len).withColumn("part_no", F.explode(_blocks(F.col("take_from"), last, size))).join(blocks, ["doc_id", "part_no"])
+    low = F.greatest(F.col("take_from") - place, F.lit(0))
+    cut = parts.select("window_id", "split", "start", F.struct("doc_offset", "part_no", F.slice("block", low.cast("int") + 1, (F.least(last - place, F.lit(size)) - low).cast("int")).alias("part")).alias("p"))
     whole = cut.groupBy("window_id", "split", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"])).alias("t"))
     shifted = whole.select("window_id", "split", "start", F.slice("t", 1, F.size("t") - 1).alias("input_tokens"), F.slice("t", 2, F.size("t") - 1).alias("output_tokens"))
     return shifted.withColumn("segment_ids", segment_ids(F.col("input_tokens"), eos_id)).withColumn("position_ids", position_ids(F.col("segment_ids")))
 
 
+def token_blocks(tokens: Column, size: int) -> Column:
+    """part_no, from 0, and block of each size tokens; the last block may be shorter. tokens must not be empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / size)), lambda k: F.struct(k.alias("part_no"), F.slice(tokens, (k * size).cast("int") + 1, size).alias("block")))
+
+
 def _numbers(array: Column) -> Column:
     return F.when(F.size(array) > 0, F.sequence(F.lit(0), F.size(array) - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _runs(begins: Column, n: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(number from 0, length) of each run, one behind the other. begins: where runs begin, the first at 0; n: where the last ends."""
+    sizes = F.zip_with(begins, F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(n)), lambda a, b: b - a)
+    return F.flatten(F.transform(sizes, lambda size, k: body(k, size)))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def segment_ids(tokens: Column, eos_id: int) -> Column:
-    """For each token, 1 and the number of ends of documents before it. Time follows tokens times documents."""
-    ends = F.filter(_numbers(tokens), lambda i: F.get(tokens, i) == eos_id)
-    return F.transform(F.array(ends), lambda e: F.transform(_numbers(tokens), lambda i: 1 + F.size(F.filter(e, lambda x: x < i))))[0]
+    """For each token, 1 and the number of ends of documents before it; in time linear in the tokens."""
+    ends = lambda t: F.transform(F.filter(_numbers(t), lambda i: F.get(t, i) == eos_id), lambda i: i + 1)
+    return _once(tokens, lambda t: _runs(F.concat(F.array(F.lit(0)), ends(t)), F.size(t), lambda k, size: F.array_repeat(k + 1, size)))
 
 
 def position_ids(segments: Column) -> Column:
-    """Places counted from 0 within each run of equal segment ids."""
-    begins = F.filter(_numbers(segments), lambda i: (i == 0) | (F.get(segments, i) != F.get(segments, i - 1)))
-    return F.transform(F.array(begins), lambda b: F.transform(_numbers(segments), lambda i: i - F.array_max(F.filter(b, lambda x: x <= i))))[0]
+    """Places counted from 0 within each run of equal segment ids; in time linear in the segments."""
+    begins = lambda s: F.filter(_numbers(s), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    return _once(segments, lambda s: _runs(begins(s), F.size(s), lambda k, size: F.sequence(F.lit(0), size - 1)))

@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.order import shuffle_key
-from corpusmill.functions.text import clean_text, last_answer, pretokens, prompt, word_count
+from corpusmill.functions.text import clean_text, last_answer, nfc, pretokens, prompt, replace_names, word_count
 from corpusmill.operators import bpe, chat, corpus, counts, kernels, report, sft, windows
-from corpusmill.session import table
+from corpusmill.session import materialized, table
 
 LANGUAGES = ("en", "fr", "de", "es")
 #: Ids of a model without merges: 256 bytes, then these.
 BYTE_SPECIALS = {"<eos>": 256, "<user>": 257, "<assistant>": 258}
 PAD_ID = 259
-MERGE_ROUNDS = 8
+#: Merges that SQL can unroll, and the vocabulary of a tokenizer of production size.
+MERGE_ROUNDS, VOCAB_SIZE = 8, 4096
+NAMES = ("Asha", "Bruno", "Chen")
+#: Letters and what they are decomposed. Fixed values of Unicode.
+DECOMPOSED = {"é": "e\u0301", "è": "e\u0300", "ê": "e\u0302", "à": "a\u0300", "ä": "a\u0308", "ö": "o\u0308", "ü": "u\u0308", "ñ": "n\u0303"}
 CTX_LEN, N_VALIDATION_DOCS = 128, 100
 SFT_CTX, N_VALIDATION_CHATS, BATCH = 4096, 10, 4
 N_SOURCES, N_CHECKED = 5, 10
@@ -45,8 +49,16 @@ def _lengths(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("source", "doc_id", (F.octet_length("clean") + 1).cast("long").alias("length"))
 
 
-def _model(spark: SparkSession, sf: str) -> bpe.BpeModel:
-    return bpe.train_rounds(_words(spark, sf), 256 + MERGE_ROUNDS)
+#: Models by session, files and size; each is trained once.
+_MODELS: dict[tuple, bpe.BpeModel] = {}
+
+
+def _model(spark: SparkSession, sf: str, vocab_size: int = 256 + MERGE_ROUNDS, train: Callable[[DataFrame, int], bpe.BpeModel] = bpe.train_rounds) -> bpe.BpeModel:
+    docs = _docs(spark, sf)
+    key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, tuple(docs.inputFiles()), vocab_size, train)
+    if key not in _MODELS:
+        _MODELS[key] = train(counts.word_counts(docs, nfc(F.col("clean"))), vocab_size)
+    return _MODELS[key]
 
 
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +72,18 @@ def filter_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count("*").alias("n_docs")).join(kept, "lang", "left").select("lang", "n_docs", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
 
 
+def score_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Selection by language score; the tables have none, so the length's last digits stand for it."""
+    docs = table(spark, sf, "documents").withColumn("language_score", F.when(F.col("n_chars") % 7 != 0, F.col("n_chars") % 100 / 100))
+    return counts.select_docs(docs, LANGUAGES, scored=("en",)).select("doc_id", "lang", "language_score")
+
+
+def names_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """Chats whose turns name two people, one by turn and one by its tens."""
+    marked = table(spark, sf, "conversations").withColumn("text", F.concat(F.lit("NAME_"), "turn", F.lit(" to NAME_"), F.col("turn") * 10 + 1, F.lit(": "), F.col("text")))
+    return chat.render_conversations(marked).select("conv_id", replace_names(F.col("chat"), F.col("conv_id"), list(NAMES)).alias("chat"))
+
+
 def sampled_sources_union(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     chosen = counts.sample_names(docs, "source", N_SOURCES)
@@ -173,7 +197,8 @@ def window_doc_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    index = corpus.shuffled_index(_lengths(spark, sf))
+    # Bounds, starts and spans all read the index.
+    index = materialized(corpus.shuffled_index(_lengths(spark, sf)))
     return windows.packed_windows(_starts(index), index, _byte_docs(spark, sf), CTX_LEN, 256)
 
 
@@ -227,6 +252,29 @@ def bpe_merges(spark: SparkSession, sf: str) -> DataFrame:
     return _model(spark, sf).merges_frame(spark)
 
 
+def bpe_merges_heap(spark: SparkSession, sf: str) -> DataFrame:
+    """The same merges, trained on the driver from the word counts."""
+    return _model(spark, sf, train=bpe.train).merges_frame(spark)
+
+
+def bpe_merges_decomposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Training on text that is decomposed on purpose: composed again, it counts as what it was."""
+    text = F.col("clean")
+    for letter, parts in DECOMPOSED.items():
+        text = F.replace(text, F.lit(letter), F.lit(parts))
+    return bpe.train(counts.word_counts(_docs(spark, sf), nfc(text)), 256 + MERGE_ROUNDS).merges_frame(spark)
+
+
+def bpe_full_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return _model(spark, sf, VOCAB_SIZE, bpe.train).merges_frame(spark)
+
+
+def bpe_full_tokens_per_word(spark: SparkSession, sf: str) -> DataFrame:
+    model = _model(spark, sf, VOCAB_SIZE, bpe.train)
+    docs = _docs(spark, sf).select("doc_id", "lang", "clean", bpe.encode(F.col("clean"), model).alias("ids"))
+    return report.tokens_per_word(docs, F.col("clean"), F.size("ids"), ["lang"])
+
+
 def bpe_vocab(spark: SparkSession, sf: str) -> DataFrame:
     model = _model(spark, sf).with_specials(bpe.BASE_SPECIALS).with_specials(bpe.CHAT_SPECIALS)
     return model.vocab_frame(spark).select("id", F.hex("bytes").alias("hex_bytes"), "is_special")
@@ -319,11 +367,11 @@ def clipped_vectors(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_documents, filter_by_language, sampled_sources_union, pretokens_per_doc, word_counts, top_words, byte_pair_counts, best_pair,
+        clean_documents, filter_by_language, score_filter, names_replaced, sampled_sources_union, pretokens_per_doc, word_counts, top_words, byte_pair_counts, best_pair,
         pair_word_index, words_per_doc, chat_render, chat_turn_pieces, chat_last_answer, chat_prompts, instruction_render, pair_render,
         translation_render, doc_offsets_by_source, source_totals, global_shuffle_index, train_val_split, split_bounds, window_starts,
         window_asof_doc, window_doc_overlap, packed_windows, segment_position_ids, chat_byte_tokens, sft_offsets, sft_split, sft_loss_mask,
-        sft_assistant_mask, padded_batches, bpe_merges, bpe_vocab, bpe_encode_words, bpe_doc_tokens, bpe_decode, tokens_per_word, round_trip,
+        sft_assistant_mask, padded_batches, bpe_merges, bpe_merges_heap, bpe_merges_decomposed, bpe_full_merges, bpe_full_tokens_per_word, bpe_vocab, bpe_encode_words, bpe_doc_tokens, bpe_decode, tokens_per_word, round_trip,
         stored_validation, rope_table, rope_rotate, softmax_top_k, sampled_token, masked_cross_entropy, attention_mask, attention_weights,
         clipped_vectors,
     )

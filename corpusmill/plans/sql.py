@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusmill.plans.bpe_sql import CLEAN, DOCS, IDS, TOKENS, WORDS, rounds
-from corpusmill.plans.queries import ATTENTION_SEGMENT, ATTENTION_WINDOW, BATCH, CTX_LEN, MERGE_ROUNDS, N_CHECKED, N_SOURCES, N_VALIDATION_CHATS, N_VALIDATION_DOCS, PAD_ID, ROPE_DIM, ROPE_LEN, SFT_CTX, TEMPERATURE, TOP_K
+from corpusmill.plans.queries import ATTENTION_SEGMENT, ATTENTION_WINDOW, BATCH, CTX_LEN, DECOMPOSED, MERGE_ROUNDS, N_CHECKED, NAMES, N_SOURCES, N_VALIDATION_CHATS, N_VALIDATION_DOCS, PAD_ID, ROPE_DIM, ROPE_LEN, SFT_CTX, TEMPERATURE, TOP_K
 
 _BASE = f"WITH {DOCS}, {TOKENS}, {WORDS}"
 _PAIRS = f"SELECT word, n, t[i]::INTEGER AS l, t[i + 1]::INTEGER AS r FROM (SELECT word, n, t, unnest(range(1, len(t))) AS i FROM (SELECT word, n, string_split(trim({IDS}, ','), ',,') AS t FROM words))"
@@ -66,7 +66,24 @@ top AS (SELECT vec_id, token, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ra
 _SEQS = f"seqs AS (SELECT vec_id // {ATTENTION_WINDOW} AS seq, vec_id // {ATTENTION_SEGMENT} AS segment, vec_id % {ATTENTION_WINDOW} AS p, embedding::DOUBLE[] AS v FROM embeddings)"
 _ALLOWED = "allowed AS (SELECT a.seq, a.p AS i, b.p AS j, a.v AS q, b.v AS k FROM seqs a JOIN seqs b ON a.seq = b.seq AND a.segment = b.segment AND b.p <= a.p)"
 
+_DECOMPOSED = "clean"
+for _letter, _parts in DECOMPOSED.items():
+    _DECOMPOSED = f"replace({_DECOMPOSED}, '{_letter}', '{_parts}')"
+
+# Marks by length, then text: NAME_<turn>, NAME_<10 turn + 1>; two marks share a name only with a number behind it.
+_NAMES = f"""marked AS (SELECT conv_id, turn, role, 'NAME_' || turn || ' to NAME_' || (turn * 10 + 1) || ': ' || text AS text FROM conversations),
+rendered AS ({{}}),
+marks AS (SELECT conv_id, mark, row_number() OVER (PARTITION BY conv_id ORDER BY length(mark), mark) - 1 AS k FROM (SELECT DISTINCT conv_id, unnest(regexp_extract_all(chat, 'NAME_[0-9]+')) AS mark FROM rendered)),
+named AS (SELECT conv_id, mark, [{', '.join(f"'{n}'" for n in NAMES)}][((('0x' || substr(md5('42:' || conv_id), 1, 8))::BIGINT + k) % {len(NAMES)} + 1)::INTEGER] || CASE WHEN k >= {len(NAMES)} THEN ' ' || (k // {len(NAMES)} + 1) ELSE '' END AS name FROM marks),
+pieces AS (SELECT conv_id, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS gap, unnest(list_concat(m, [''])) AS mark FROM (SELECT conv_id, regexp_split_to_array(chat, 'NAME_[0-9]+') AS g, regexp_extract_all(chat, 'NAME_[0-9]+') AS m FROM rendered))
+SELECT conv_id, string_agg(gap || coalesce(name, ''), '' ORDER BY i) AS chat FROM pieces LEFT JOIN named USING (conv_id, mark) GROUP BY conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "score_filter": """WITH s AS (SELECT doc_id, lang, text, CASE WHEN n_chars % 7 <> 0 THEN n_chars % 100 / 100::DOUBLE END AS language_score FROM documents)
+SELECT doc_id, lang, language_score FROM s WHERE length(text) >= 100 AND (lang <> 'en' OR language_score > 0.85)""",
+    "names_replaced": "WITH " + _NAMES.format(f"WITH {_CHATS.replace('FROM conversations', 'FROM marked')} SELECT conv_id, chat FROM chats"),
+    "bpe_merges_heap": f"{_MERGED} {_ALL_MERGES}",
+    "bpe_merges_decomposed": f"WITH {DOCS.replace('docs AS', 'plain AS')}, docs AS (SELECT doc_id, lang, source, nfc_normalize({_DECOMPOSED}) AS clean FROM plain), {TOKENS}, {WORDS}, {rounds(MERGE_ROUNDS)} {_ALL_MERGES}",
     "clean_documents": f"SELECT doc_id, {CLEAN} AS clean_text FROM documents WHERE length(text) >= 100",
     "filter_by_language": "SELECT lang, count(*) AS n_docs, count(*) FILTER (WHERE length(text) >= 100) AS n_kept FROM documents GROUP BY lang",
     "sampled_sources_union": f"WITH {DOCS}, chosen AS (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY md5('42:' || source), source LIMIT {N_SOURCES}) SELECT doc_id, source, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS part, length(clean)::INTEGER AS n_clean FROM docs SEMI JOIN chosen USING (source)",

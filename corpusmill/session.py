@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,5 +23,21 @@ def build_session(app: str = "corpusmill", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of spark.checkpoint.dir, its lineage cut: a lost executor costs no earlier stage.
+
+    Where that is unset, a folder of our own serves if all tasks run on this machine; on a cluster it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="corpusmill-")
+        context.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,11 +33,16 @@ def sample_files(paths: list[str], n: int, seed: int = 42) -> list[str]:
 def read_documents(spark: SparkSession, paths: list[str], schema: T.StructType, lang: str) -> DataFrame:
     """Documents of Parquet files with lang, source (the whole path) and doc_id.
 
-    Only the schema's columns are read. doc_id counts the rows of the read from 0 in the order of files and rows; it is unique and
-    rises within a file, but leaves gaps.
+    Only the schema's columns are read. doc_id is the file's place among the sorted paths times 2^32, and the row's number in its
+    file: it rises in the order of files and rows and hangs on no setting of the read, but leaves gaps.
     """
-    docs = spark.read.schema(schema).parquet(*paths)
-    return docs.select("*", F.lit(lang).alias("lang"), F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("doc_id"))
+    docs = spark.read.schema(schema).parquet(*paths).select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.row_index").alias("_row"))
+    # Paths as Spark itself spells them, whatever the spelling they were given in.
+    spelt = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in sorted(set(paths))]
+    spelt = [p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString() for p in spelt]
+    places = spark.createDataFrame(list(enumerate(spelt)), "_place long, _path string")
+    placed = docs.join(places, docs["source"] == places["_path"])
+    return placed.select(*[f.name for f in schema.fields], F.lit(lang).alias("lang"), "source", (F.shiftleft("_place", 32) + F.col("_row")).alias("doc_id"))
 
 
 def read_json_lines(spark: SparkSession, folder: str, schema: T.StructType, recursive: bool = True) -> DataFrame:

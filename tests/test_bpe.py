@@ -1,15 +1,19 @@
 """Training by rounds and by a heap, encoding by fold, by merging and in Arrow batches, special tokens."""
 
-from collections import Counter
+import random
+import re
+import unicodedata
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import nfc, pretokens, unsettled
 from corpusmill.operators import bpe
 from corpusmill.operators.counts import word_counts
-from corpusmill.plans.queries import _docs
+from corpusmill.plans.queries import QUERIES, VOCAB_SIZE, _docs
 
 CORPUS = [("low", 5), ("lower", 2), ("newest", 6), ("widest", 3)]
 MERGES = [(101, 115, 9), (256, 116, 9), (108, 111, 7), (258, 119, 7), (101, 119, 6), (110, 260, 6), (261, 257, 6), (100, 257, 3)]
@@ -61,6 +65,75 @@ def test_heap_equals_brute_force(counts):
     assert of(bpe.train_heap(list(counts.items()), 276)) == brute_force(list(counts.items()), 276)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text("abcd", min_size=1, max_size=7), st.integers(1, 4), max_size=14))
+def test_independent_pairs_merge_as_one_by_one(counts):
+    """The plan of train_rounds() on lists: several merges a round, many ties."""
+    words, merges = [(list(w.encode()), n) for w, n in counts.items()], []
+    while len(merges) < 20:
+        pairs = Counter()
+        for ids, n in words:
+            for p in zip(ids, ids[1:], strict=False):
+                pairs[p] += n
+        best = sorted(pairs, key=lambda p: (-pairs[p], p))
+        if not best:
+            break
+        for p in best[: min(bpe.independent(best), 20 - len(merges))]:
+            merges.append((*p, pairs[p]))
+            words = [(bpe._replace(ids, p, 255 + len(merges)), n) for ids, n in words]
+    assert merges == brute_force(list(counts.items()), 276)
+
+
+def test_rounds_with_checkpoints(spark, sf_dir):
+    words = word_counts(_docs(spark, sf_dir).where("lang = 'fr'"), F.col("clean"))
+    assert of(bpe.train_rounds(words, 320, checkpoint_every=2)) == of(bpe.train_heap([tuple(r) for r in words.collect()], 320))
+
+
+def test_training_composes(spark):
+    texts = ["été à l'ecole", "e\u0301te\u0301 a\u0300 l'e\u0301cole été", "\u1112\u1161\u11ab 한 \u212b"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    counted = {r["word"]: r["n"] for r in word_counts(df, nfc(F.col("t"))).collect()}
+    want = Counter(w for t in texts for w in unicodedata.normalize("NFC", t).replace(" ", "\0 ").split("\0") for w in re.findall(r" ?\w+|'", w))
+    assert counted == want
+    model = bpe.train(word_counts(df, nfc(F.col("t"))), 262)
+    both = spark.createDataFrame([("été",), ("e\u0301te\u0301",)], "t string").select(bpe.encode(F.col("t"), model).alias("ids")).collect()
+    assert both[0]["ids"] == both[1]["ids"]
+    assert len(both[0]["ids"]) < 5
+
+
+def test_only_unsettled_texts_change():
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), unsettled()))
+    rng = random.Random(0)
+    pool = [*"aeo é한ñ", "\u0301", "\u0323", "\u1161", "\u11a8", "\u212b", "\u0958", "\u09c7", "\u09be", "\u3099", "か", "\uac00", "\U0001d15e"]
+    for _ in range(5000):
+        text = "".join(rng.choice(pool) for _ in range(4))
+        assert pattern.search(text) or unicodedata.normalize("NFC", text) == text
+
+
+def test_full_vocabulary(spark, sf_dir):
+    """The queries of production size against counting all pairs anew for each merge, and against encoding word by word."""
+    words = {r["word"]: r["n"] for r in word_counts(_docs(spark, sf_dir), F.col("clean")).collect()}
+    merges = [(r["left"], r["right"], r["n"]) for r in QUERIES["bpe_full_merges"](spark, sf_dir).orderBy("rank").collect()]
+    assert len(merges) == VOCAB_SIZE - 256
+    assert merges[:150] == brute_force(list(words.items()), 406)
+    ranks = {p[:2]: k for k, p in enumerate(merges)}
+
+    def n_ids(word):
+        ids = list(word.encode())
+        while len(ids) > 1 and (best := min(zip(ids, ids[1:], strict=False), key=lambda p: ranks.get(p, 1 << 40))) in ranks:
+            ids = bpe._replace(ids, best, 256 + ranks[best])
+        return len(ids)
+
+    known, ratios = {}, defaultdict(list)
+    for r in _docs(spark, sf_dir).select("lang", "clean", pretokens(F.col("clean")).alias("w")).collect():
+        n = sum(known[w] if w in known else known.setdefault(w, n_ids(w)) for w in r["w"])
+        if r["clean"]:
+            ratios[r["lang"]].append(n / len(r["clean"].split(" ")))
+    for r in QUERIES["bpe_full_tokens_per_word"](spark, sf_dir).collect():
+        assert r["n_docs"] == len(ratios[r["lang"]])
+        assert abs(r["avg_tokens_per_word"] - sum(ratios[r["lang"]]) / r["n_docs"]) < 1e-9
+
+
 def test_encoding_ways_agree(spark, sf_dir):
     words = word_counts(_docs(spark, sf_dir), F.col("clean"))
     model = bpe.train(words, 256 + 40)
