@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +13,9 @@ CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 PRETOKEN = r"[ ]?\p{L}[\p{L}\p{M}]*|[ ]?\d+|[ ]?[^\s\p{L}\p{M}\d]+|\s+(?!\S)|\s+"
 NAME_MARK = r"NAME_\d+"
 
+#: Composition changes no text of Latin letters up to U+02FF and punctuation from U+2002 to U+20CF.
+MAYBE_COMPOSED = r"[^\x{0}-\x{2ff}\x{2002}-\x{20cf}]"
+
 MIN_CHARS = 100
 
 
@@ -28,17 +29,6 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PRETOKEN), F.lit(0))
 
 
-@lru_cache(maxsize=1)
-def unsettled() -> str:
-    """A class of the characters that composition may change or join to the one before; a text without them is composed already.
-
-    Those are the characters that are not their own composition, all marks, and the vowels and finals of Hangul.
-    """
-    own = [unicodedata.normalize("NFC", chr(c)) != chr(c) or unicodedata.category(chr(c))[0] == "M" or unicodedata.combining(chr(c)) > 0 or 0x1161 <= c <= 0x11C2 for c in range(sys.maxunicode + 1)]
-    ends = [c for c in range(1, len(own) + 1) if own[c - 1] != (c < len(own) and own[c])]
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b - 1:x}}}" for a, b in zip(ends[::2], ends[1::2], strict=True)) + "]"
-
-
 def nfc(text: Column) -> Column:
     """Canonical composition. Only texts that it may change are handed to Python."""
 
@@ -46,7 +36,7 @@ def nfc(text: Column) -> Column:
     def composed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return F.coalesce(composed(F.when(text.rlike(unsettled()), text)), text)
+    return F.coalesce(composed(F.when(text.rlike(MAYBE_COMPOSED), text)), text)
 
 
 def long_enough(text: Column, min_chars: int = MIN_CHARS) -> Column:

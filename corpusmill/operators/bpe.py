@@ -218,6 +218,7 @@ def train_heap(counts: Iterable[tuple[str, int]], vocab_size: int) -> BpeModel:
 
 def train(words: DataFrame, vocab_size: int, driver_types: int = DRIVER_TYPES) -> BpeModel:
     """Trains on word and n: on the driver while the word types fit there by their checked number, else by rounds."""
+    words = materialized(words)
     if words.count() <= driver_types:
         return train_heap(((r["word"], r["n"]) for r in words.toLocalIterator()), vocab_size)
     return train_rounds(words, vocab_size)

@@ -1,6 +1,5 @@
 """Training by rounds and by a heap, encoding by fold, by merging and in Arrow batches, special tokens."""
 
-import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -10,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import nfc, pretokens, unsettled
+from corpusmill.functions.text import MAYBE_COMPOSED, nfc, pretokens
 from corpusmill.operators import bpe
 from corpusmill.operators.counts import word_counts
 from corpusmill.plans.queries import QUERIES, VOCAB_SIZE, _docs
@@ -101,13 +100,12 @@ def test_training_composes(spark):
     assert len(both[0]["ids"]) < 5
 
 
-def test_only_unsettled_texts_change():
-    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), unsettled()))
-    rng = random.Random(0)
-    pool = [*"aeo é한ñ", "\u0301", "\u0323", "\u1161", "\u11a8", "\u212b", "\u0958", "\u09c7", "\u09be", "\u3099", "か", "\uac00", "\U0001d15e"]
-    for _ in range(5000):
-        text = "".join(rng.choice(pool) for _ in range(4))
-        assert pattern.search(text) or unicodedata.normalize("NFC", text) == text
+def test_other_texts_are_composed():
+    plain = [chr(c) for c in range(0x10FFFF + 1) if not re.search(MAYBE_COMPOSED.replace(r"\x{0}", "\\x00").replace(r"\x{2ff}", "\u02ff").replace(r"\x{2002}", "\u2002").replace(r"\x{20cf}", "\u20cf"), chr(c))]
+    assert len(plain) == 0x300 + 0xCE
+    assert all(unicodedata.is_normalized("NFC", a) and unicodedata.combining(a) == 0 for a in plain)
+    # None of them joins to one before it.
+    assert all(unicodedata.is_normalized("NFC", a + b) for a in "aeoAKé \u0627\u1100" for b in plain)
 
 
 def test_full_vocabulary(spark, sf_dir):
