@@ -26,6 +26,9 @@ SKETCH, DEVIATIONS = -(-SLOTS // 64), 6
 SMALL_BUCKET = 16
 #: Ids that may be broadcast, 16 MB at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Tasks that the rows of one hot key are dealt to. A key is hot with more rows than this and than one in HOT_KEYS of all rows; so
+#: there are HOT_KEYS hot keys at most, and they are broadcast.
+SALTS, HOT_ROWS, HOT_KEYS = 16, 10_000, 10_000
 
 
 _BITS = [f"s{k}" for k in range(SKETCH)]
@@ -148,15 +151,32 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch_column(batch, "a"), batch_column(batch, "b"), *map(pa.array, both)], ["a", "b", "common", "union"])
 
 
+def _salt(by: Column) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """rows with a salt, by which those with a hot key are dealt."""
+    return rows.join(F.broadcast(hot), rows["key"] == hot["hot_key"], "left").withColumn("salt", F.when(F.col("hot_key").isNotNull(), _salt(F.col(by))).otherwise(0)).drop("hot_key")
+
+
+def _copied(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows, one for each key, with the salts that _dealt() may give: the other side of its joins."""
+    every = F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(F.broadcast(hot), rows["key"] == hot["hot_key"], "left").withColumn("salt", F.explode(every)).drop("hot_key")
+
+
 def _with_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids with their whole shingle sets. Only texts of these ids are hashed again."""
     involved = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "want"))
     small = involved.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(involved) if small else involved, docs["doc_id"] == involved["want"], "left_semi")
     sets = stored(texts.mapInArrow(_sets, "id long, shingles binary").groupBy("id").agg(F.min("shingles").alias("shingles")))
-    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+    # Many b have one a: its pairs are dealt to several tasks, and its set goes to those that ask for it.
+    dealt = pairs.select("a", "b", _salt(F.col("b")).alias("salt"))
+    a = sets.join(dealt.select("a", "salt").distinct(), F.col("id") == F.col("a")).select("a", "salt", F.col("shingles").alias("set_a"))
     b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
+    return dealt.join(b, "b").join(a, ["a", "salt"]).select("a", "b", "set_a", "set_b")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -231,16 +251,18 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     kind = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "h1", "h2")] + [T.StructField("keys", T.ArrayType(T.LongType()))] + [T.StructField(n, T.LongType()) for n in _BITS])
     signed_docs = stored(docs.mapInArrow(_sign, kind))
     named = signed_docs.where("doc_id is not null and n_shingles > 0")
-    classes = stored(named.groupBy("h1", "h2", "n_shingles").agg(F.min(F.struct("doc_id", *_BITS, "keys")).alias("first")).select("h1", "h2", "n_shingles", F.col("first.doc_id").alias("rep"), "first.keys", *(f"first.{n}" for n in _BITS)))
+    first_of_class = [F.min(F.struct("doc_id", *_BITS, "keys")).alias("first"), F.count("*").alias("n_docs")]
+    classes = stored(named.groupBy("h1", "h2", "n_shingles").agg(*first_of_class).select("h1", "h2", "n_shingles", "n_docs", F.col("first.doc_id").alias("rep"), "first.keys", *(f"first.{n}" for n in _BITS)))
 
     every = classes.select("rep", F.explode("keys").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select(F.col("key").alias("shared_key"), "size")
-    members = stored(every.join(shared, every["key"] == shared["shared_key"]).select("key", "rep", "size"))
+    shared = stored(every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    hot = shared.where(F.col("size") > max(HOT_ROWS, classes.count() * BANDS // HOT_KEYS)).select(F.col("key").alias("hot_key"))
+    members = stored(_dealt(every, hot, "rep").join(_copied(shared, hot), ["key", "salt"]).select("key", "rep", "size", "salt"))
     # The member whose buckets are the fullest is the likeliest to be similar to all others: of copies of one text, that text.
     weight = members.groupBy("rep").agg(F.sum("size").alias("weight")).select(F.col("rep").alias("of"), "weight")
     weighed = members.join(weight, members["rep"] == weight["of"])
-    center = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"))).alias("top")).select(F.col("key").alias("center_key"), (-F.col("top.back")).alias("center"), "top"))
-    centered = members.join(center, members["key"] == center["center_key"])
+    center = stored(weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("center"), "top"))
+    centered = members.join(_copied(center, hot), ["key", "salt"])  # members keep their salts
     spokes = centered.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     sketch = lambda name: classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"{name}_n"), *(F.col(x).alias(f"{name}_{x}") for x in _BITS))
     alike = lambda x, y: _alike([f"{x}_{k}" for k in _BITS], [f"{y}_{k}" for k in _BITS], percent) & (100 * F.least(f"{x}_n", f"{y}_n") >= percent * F.greatest(f"{x}_n", f"{y}_n"))
@@ -258,7 +280,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
 
     # In a large bucket all members are compared with one text, the same one for as many buckets as can be: the center of the
     # fullest bucket that the bucket's center is in. Two members can only be similar if they differ from it in the same shingles.
-    upper = members.join(center, members["key"] == center["center_key"]).groupBy("rep").agg(F.max("top").alias("best")).select(F.col("rep").alias("lower"), (-F.col("best.back")).alias("reference"))
+    upper = centered.groupBy("rep").agg(F.max("top").alias("best")).select(F.col("rep").alias("lower"), (-F.col("best.back")).alias("reference"))
     many = open_members.where(F.col("size") > SMALL_BUCKET).select("center", "rep").distinct()
     compared_with = many.join(upper, many["center"] == upper["lower"]).where("rep <> reference").select(F.col("reference").alias("a"), F.col("rep").alias("b")).distinct()
     apart = stored(_with_sets(stored(compared_with), docs).mapInArrow(_differences(percent), _DIFFERENCE))
@@ -280,9 +302,14 @@ def near_duplicates(documents: DataFrame, percent: int = 80, id_col: str = "doc_
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
 
-    of_class = classes.join(roots, classes["rep"] == roots["id"], "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n_shingles").alias("c3"), F.coalesce("root", "rep").alias("component"))
-    same = (signed_docs["h1"] == of_class["c1"]) & (signed_docs["h2"] == of_class["c2"]) & (signed_docs["n_shingles"] == of_class["c3"]) & signed_docs["doc_id"].isNotNull()
-    out = signed_docs.join(of_class, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Copies meet their class by its sums, dealt to several tasks; a text without copies is its class's first and meets its root by id.
+    several = classes.where("n_docs > 1").join(roots, classes["rep"] == roots["id"], "left").withColumn("c4", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    several = several.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n_shingles").alias("c3"), "c4", F.coalesce("root", "rep").alias("component"))
+    salted = signed_docs.select("doc_id", "n_shingles", "h1", "h2", _salt(F.col("doc_id")).alias("salt"))
+    same = (salted["h1"] == several["c1"]) & (salted["h2"] == several["c2"]) & (salted["n_shingles"] == several["c3"]) & (salted["salt"] == several["c4"]) & salted["doc_id"].isNotNull()
+    placed = salted.join(several, same, "left").select("doc_id", "n_shingles", "component")
+    own = roots.select(F.col("id").alias("own_id"), F.col("root").alias("own_root"))
+    out = placed.join(own, (placed["doc_id"] == own["own_id"]) & (placed["n_shingles"] > 0), "left").select("doc_id", "n_shingles", F.coalesce("component", "own_root", "doc_id").alias("component_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

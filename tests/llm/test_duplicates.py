@@ -4,6 +4,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import near_dup, substring
 from corpusmill.llm.components import connected_components
@@ -232,3 +233,26 @@ def test_one_window_in_half_the_documents(spark, monkeypatch):
     monkeypatch.setattr(substring, "HOT_WINDOW", 20)
     rows = [(i, " ".join(f"h{x}" for x in range(30)) + f" own{i} " + " ".join(f"o{i}_{x}" for x in range(i % 20))) for i in range(200)]
     assert removed(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == repeats(rows)
+
+
+@pytest.mark.parametrize("limit", [5, 10**9])
+def test_hot_texts_bands_and_centers(spark, monkeypatch, limit):
+    """One text in a third of the rows, one group of near copies in another third, empty texts in the last: dealt, and all the same."""
+    monkeypatch.setattr(near_dup, "HOT_ROWS", limit)
+    monkeypatch.setattr(near_dup, "HOT_KEYS", 10**9)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"h{x}" for x in range(50))] * 300 + edited_group(rng, 120, 100, 3) + [""] * 150 + [None] * 10 + [" ".join(f"o{i}_{x}" for x in range(12)) for i in range(100)]
+    docs = {i: texts[j] for i, j in enumerate(rng.permutation(len(texts)))}
+    got = near_duplicates(docs_of(spark, [docs[i] for i in range(len(docs))]).repartition(6), 80)
+    assert result(got) == brute_force(docs, 80)
+
+
+def test_hot_keys_are_dealt(spark):
+    rows = spark.range(10_000).select((F.col("id") % 2 * F.col("id")).alias("key"), F.col("id").alias("rep"))
+    hot = spark.createDataFrame([(0,)], "hot_key long")
+    sizes = {(r["key"], r["salt"]): r["count"] for r in near_dup._dealt(rows, hot, "rep").groupBy("key", "salt").count().collect()}
+    assert sum(n for (k, _), n in sizes.items() if k == 0) == 5000
+    assert max(sizes.values()) < 5000 / near_dup.SALTS * 1.4
+    copied = near_dup._copied(rows.groupBy("key").count(), hot).collect()
+    assert {(r["key"], r["salt"]) for r in copied} >= set(sizes)
+    assert len(copied) == 5000 + near_dup.SALTS
