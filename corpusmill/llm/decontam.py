@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,8 +17,9 @@ from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_b
 
 #: A window contains an item if their edit distance in words is at most this share of the item's words.
 MAX_SHARE = 0.2
-#: Items with fewer words are no evidence: they match nothing.
-MIN_WORDS = 8
+#: Items with fewer words are looked for as they stand. With fewer code points than these they are reported, but reject no document:
+#: a word or two stands in many that never saw the benchmark.
+MIN_WORDS, EVIDENCE_CHARS = 8, 20
 #: Embeddings, and sampled places of each. See recall_of() for what they reach.
 REPEATS, SAMPLES = 40, 3
 #: Items and bytes of item text that go to the executors at once; a larger benchmark takes several passes.
@@ -85,17 +88,68 @@ class _Members:
         return at[same], found[same]
 
 
+_SPACED = {c: " " if c in NOT_ALNUM and not 65 <= c <= 90 else chr(c).lower() for c in range(128)}
+
+
+def _squeezed(text: str) -> str:
+    """The text's words in lower case, a space between any two."""
+    return " ".join(w for w in text.translate(_SPACED).split(" ") if w)
+
+
+class ShortItems:
+    """Finds items of few words where the same words stand in a text. A script without spaces is looked for within its runs."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.names: dict[str, list[int]] = {}
+        for name, text in items:
+            plain = _squeezed(text)
+            own = (" " if plain[0].isascii() else "") + plain + (" " if plain[-1].isascii() else "")
+            self.names.setdefault(own, []).append(name)
+        self.keys = list(self.names)
+        self.n_words = [len(k.split(" ")) - k.startswith(" ") - k.endswith(" ") for k in self.keys]
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for k, key in enumerate(self.keys):
+            out.add_word(key, k)
+        out.make_automaton()
+        return out
+
+    def __getstate__(self) -> dict:
+        """Without the automaton: each process makes its own."""
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+
+    def find(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+        """As Matcher.find(): the first place of each item in each text."""
+        out = []
+        for i, text in enumerate(texts):
+            plain = f" {_squeezed(text.as_py() or '')} "
+            ends: dict[int, int] = {}
+            for end, k in self.automaton.iter(plain):
+                ends.setdefault(k, end)
+            for k, end in ends.items():
+                begin = end + 1 - len(self.keys[k]) + self.keys[k].startswith(" ")
+                out += [(i, name, 0, self.n_words[k], plain.count(" ", 0, begin) - 1) for name in self.names[self.keys[k]]]
+        return out
+
+
 class Matcher:
     """Finds the items of one block of the benchmark in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], max_share: float = MAX_SHARE) -> None:
+    def __init__(self, items: list[tuple[int, str]], max_share: float = MAX_SHARE, short_chars: int = 1) -> None:
+        """short_chars: code points that items of fewer than MIN_WORDS words need to be looked for."""
         self.hasher, self.max_share = WordHasher(NOT_ALNUM, lower=True, seed=11), max_share
         data, offsets = text_bytes(pa.array([t for _, t in items], pa.large_string()))
         words, _, _, first = self.hasher.hashes(data, offsets)
         by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for (name, _), a, b in zip(items, first[:-1], first[1:], strict=True):
+        short = []
+        for (name, text), a, b in zip(items, first[:-1], first[1:], strict=True):
             if b - a >= MIN_WORDS:
                 by_size[int(b - a)].append((name, words[a:b]))
+            elif len(_squeezed(text)) >= short_chars:
+                short.append((name, text))
+        self.short = ShortItems(short) if short else None
         pairs = {n: np.concatenate([grams(w, 2) for _, w in own]) for n, own in by_size.items()}
         self.pairs = _Members(np.concatenate([np.zeros(0, np.uint64), *pairs.values()]))
         self.has_pair = {n: np.isin(self.pairs.values, own) for n, own in pairs.items()}
@@ -133,7 +187,17 @@ class Matcher:
         return out
 
     def find(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-        """text number, item, distance, item's words and the window's first word; the best window for each text and item."""
+        """text number, item, distance, item's words and the window's first word; the best window for each text and item, of equal
+        distances the first."""
+        if not self.short:
+            return self._find_long(texts)
+        best = {}
+        for row in self._find_long(texts) + self.short.find(texts):
+            key = row[:2]
+            best[key] = min(best.get(key, row), row, key=lambda r: (r[2], r[4]))
+        return sorted(best.values())
+
+    def _find_long(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         data, offsets = text_bytes(texts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if not self.sizes:
@@ -179,21 +243,22 @@ class Matcher:
         return [(*key, *value) for key, value in sorted(best.items())]
 
 
-def matchers(benchmark: DataFrame, max_share: float = MAX_SHARE) -> Iterator[Matcher]:
+def matchers(benchmark: DataFrame, max_share: float = MAX_SHARE, short_chars: int = 1) -> Iterator[Matcher]:
     """A Matcher for each block of the benchmark. Items with a null id or text are left out."""
     items = bounded_batches(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for block in range(blocks):
-        yield Matcher([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()], max_share)
+        yield Matcher([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()], max_share, short_chars)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, max_share: float = MAX_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, distance, item_words, similarity and first_word of each item that a document contains.
 
     A document contains an item if some run of its words is within max_share of the item's words in edit distance. Words are runs
-    of letters and digits in lower case. Null and empty texts contain nothing; items with fewer than MIN_WORDS words match nothing;
-    repeated rows each give their own rows, as do null ids; other columns are not read; empty tables give no rows.
+    of letters and digits in lower case. Items with fewer than MIN_WORDS words must stand as they are, those without words match
+    nothing. Null and empty texts contain nothing; texts of any length are taken whole. Of places that tie the first counts.
+    Repeated rows each give their own rows, as do null ids; other columns are not read; empty tables give no rows.
     """
     chosen = bounded_batches(documents).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = T.StructType([T.StructField("id", chosen.schema["id"].dataType)] + [T.StructField(n, T.LongType()) for n in ("item_id", "distance", "item_words", "first_word")])
@@ -213,9 +278,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, max_share: float =
 
 
 def contains_item(text: Column, benchmark: DataFrame, max_share: float = MAX_SHARE) -> Column:
-    """Whether the text contains any item, as a Column, for filters that keep all other columns."""
+    """Whether the text contains any item, as a Column, for filters that keep all other columns.
+
+    Items with fewer than MIN_WORDS words count from EVIDENCE_CHARS code points on.
+    """
     out = F.lit(False)
-    for matcher in matchers(benchmark, max_share):
+    for matcher in matchers(benchmark, max_share, EVIDENCE_CHARS):
         out = out | _hits(matcher)(text)
     return out
 

@@ -25,6 +25,8 @@ def brute_force(docs, items):
         words = words_of(text)
         for name, item in items:
             own = words_of(item)
+            if 0 < len(own) < MIN_WORDS and any(words[a : a + len(own)] == own for a in range(len(words))):
+                out.add((i, name, 0))
             if len(own) >= MIN_WORDS and len(set(own) & set(words)) >= len(set(own)) - edits(len(own)):
                 d = least_distance(own, words)
                 if d <= edits(len(own)):
@@ -106,9 +108,20 @@ def test_edit_distances():
 def test_edges(spark):
     bench = spark.createDataFrame([(1, "é 😀 ß " * 10), (2, None), (None, "one two three four five six seven eight nine"), (3, ""), (4, "one"), (1, "é 😀 ß " * 10), (5, "word1 of word4 of word9 of word16 of word25 of")], "item_id long, text string")
     rows = contaminated(edge_docs(spark), bench).collect()
-    assert {r["doc_id"] for r in rows} == {5, 6, 7}
-    assert len(rows) == 4
+    assert {r["doc_id"] for r in rows} == {4, 5, 6, 7}
+    assert len(rows) == 5
     assert contaminated(no_docs(spark), bench).count() == contaminated(edge_docs(spark), bench.where("false")).count() == 0
     kept = edge_docs(spark).where(~contains_item(F.col("text"), bench))
     assert kept.columns == edge_docs(spark).columns
     assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, (i for i, _ in EDGE_TEXTS if i not in (5, 6, 7))))
+
+
+def test_short_items():
+    items = [(1, "The Capital, of France?"), (2, "is"), (3, "..."), (4, "法國的首都"), (5, "a b c d e f g"), (2, "capital of")]
+    docs = ["what is the  capital of-france", "this", None, "", "問：法國的首都是什麼", "A b. C d e f g h", "b c d e f g", "a b c d e f gg", "the capital of france is the capital of france"]
+    got = {row[:3] for row in Matcher(items).find(pa.array(docs))}
+    assert got == {(0, 1, 0), (0, 2, 0), (4, 4, 0), (5, 5, 0), (8, 1, 0), (8, 2, 0)}
+    plain = [x for x in items if x[0] not in (3, 4)]
+    assert got - {(4, 4, 0)} == brute_force([(i, d) for i, d in enumerate(docs) if d], plain)
+    assert [row[4] for row in Matcher(items).find(pa.array(docs)) if row[:2] == (0, 1)] == [2]
+    assert {row[:3] for row in Matcher(items, short_chars=20).find(pa.array(docs))} == {(0, 1, 0), (8, 1, 0)}
