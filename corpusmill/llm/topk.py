@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import stored
 
-#: Rows of a shard at most, shards at least, queries of a block at most. The last bounds what one task holds.
-SHARD_ROWS, MIN_SHARDS, QUERY_BLOCK = 32_768, 16, 8_192
+#: Rows of a shard and queries of a block on average, shards at least. One task holds one tree and one block.
+SHARD_ROWS, MIN_SHARDS, QUERY_BLOCK = 32_768, 16, 32_768
+#: Shares of the shards that a query has met after each wave but the first, which is its own shard.
+WAVES = (0.15, 1.0)
 LEAF_ROWS = 64
 #: Integer products are exact in doubles below this.
 EXACT = float(2**52)
@@ -78,27 +82,47 @@ class BallTree:
         return scores, found
 
 
-def _top(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
+def _plant(points: pd.DataFrame) -> pd.DataFrame:
+    """shard, dim and the tree of each dimension's points of a shard, with their ids."""
+    out = []
+    for (shard, dim), own in points.groupby(["shard", "dim"]):
+        tree = BallTree(np.array(own["vec"].tolist(), float).reshape(len(own), dim))
+        out.append((shard, dim, pickle.dumps((tree, own["vec_id"].to_numpy(np.int64)), 5)))
+    return pd.DataFrame(out, columns=["t_shard", "t_dim", "tree"])
+
+
+def _exact(q: np.ndarray, p: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> list[pd.DataFrame]:
+    """Beyond what doubles hold exactly: whole numbers of any size, held to what a long can say."""
+    scores = [[min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), -(2**63)), 2**63 - 1) for y in p] for x in q]
+    best = [sorted((-s, int(i)) for s, i in zip(row, ids, strict=True) if i != me)[:k] for row, me in zip(scores, q_ids, strict=True)]
+    return [pd.DataFrame({"query_id": me, "vec_id": [i for _, i in row], "score": [-s for s, _ in row]}) for me, row in zip(q_ids, best, strict=True) if row]
+
+
+def _top(queries: pd.DataFrame, trees: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of the shard for each query that can still be among the best of all."""
     out = []
+    planted = dict(zip(trees["t_dim"], trees["tree"], strict=True))
     for dim, group in queries.groupby("dim"):
-        own = shard[shard["p_dim"] == dim]
-        if not len(own):
+        if dim not in planted:
             continue
-        q, p = np.array(group["vec"].tolist(), float).reshape(len(group), dim), np.array(own["p_vec"].tolist(), float).reshape(len(own), dim)
-        q_ids, ids, floor = group["vec_id"].to_numpy(np.int64), own["p_id"].to_numpy(np.int64), group["floor"].to_numpy(float)
-        if dim * max(np.abs(q).max(initial=0), np.abs(p).max(initial=0)) ** 2 < EXACT:
-            scores, found = BallTree(p).search(q, q_ids, ids, k, floor)
-        else:  # beyond doubles: whole numbers of any size, held to what a long can say
-            exact = [[min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), -(2**63)), 2**63 - 1) for y in p] for x in q]
-            best = [sorted((-s, int(i)) for s, i in zip(row, ids, strict=True) if i != me)[:k] for row, me in zip(exact, q_ids, strict=True)]
-            out += [pd.DataFrame({"query_id": me, "vec_id": [i for _, i in row], "score": [-s for s, _ in row]}) for me, row in zip(q_ids, best, strict=True) if row]
+        tree, ids = pickle.loads(planted[dim])
+        q, q_ids = np.array(group["vec"].tolist(), float).reshape(len(group), dim), group["vec_id"].to_numpy(np.int64)
+        if dim * max(np.abs(q).max(initial=0), np.abs(tree.points).max(initial=0)) ** 2 >= EXACT:
+            out += _exact(q, tree.points, q_ids, ids, k)
             continue
+        floor = group["floor"].to_numpy(float)
+        scores, found = tree.search(q, q_ids, ids, k, floor)
         who, at = np.nonzero((scores > -np.inf) & (scores >= floor[:, None]))
         out.append(pd.DataFrame({"query_id": q_ids[who], "vec_id": found[who, at], "score": scores[who, at].astype(np.int64)}))
     return pd.concat(out).astype("int64") if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank from 1, vec_id and score: the k vectors with the highest inner product for each query, ties to smaller ids.
 
@@ -106,8 +130,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     of other lengths than the query's are no candidates. Of rows with one id and one vector the first counts once. Fewer than k
     candidates are all returned; an empty table gives no rows. Other columns are not read.
 
-    Rows are dealt to shards of at most shard_rows, queries to blocks of at most query_block; each task holds one of either.
-    First each query searches the shard that it lies in; the kth score there is a floor that all other shards start from.
+    Rows are dealt to shards of some shard_rows by their ids, however alike the vectors are, and each shard's ball tree is built
+    once and stored; queries are dealt to blocks of some query_block. Queries meet the shards in waves: first the one that they lie
+    in, then some others, then the rest. The kth score so far of all shards is the floor that the next wave's searches start from.
     """
     kept = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("raw"), is_query.alias("asks"))
@@ -120,23 +145,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     kept = stored(kept)
     n_rows, n_queries = kept.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(MIN_SHARDS, -(-n_rows // shard_rows)), max(1, -(-n_queries // query_block))
-    schema = "query_id long, vec_id long, score long"
-    points = kept.select("vec_id", "vec", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
-    queries = kept.where("asks").select("vec_id", "vec", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("home"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(7)), F.lit(blocks)).alias("block"))
-    dealt = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else points.withColumn("block", F.lit(0).cast("long"))
-    # Other names than the queries' columns: both come from one table, and a cogroup takes equal columns for ambiguous ones.
-    dealt = dealt.select(F.col("vec_id").alias("p_id"), F.col("vec").alias("p_vec"), F.col("dim").alias("p_dim"), F.col("shard").cast("long").alias("p_shard"), F.col("block").cast("long").alias("p_block"))
+    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    trees = stored(kept.select("vec_id", "vec", "dim", home.alias("shard")).groupBy("shard").applyInPandas(_plant, "t_shard long, t_dim int, tree binary"))
+    trees = trees.withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    queries = kept.where("asks").select("vec_id", "vec", "dim", home.alias("home"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(7)), F.lit(blocks)).alias("block"))
 
     def search(asking: DataFrame) -> DataFrame:
         asking = asking.select("vec_id", "vec", "dim", "floor", F.col("shard").cast("long"), F.col("block").cast("long"))
-        return asking.groupBy("shard", "block").cogroup(dealt.groupBy("p_shard", "p_block")).applyInPandas(lambda q, p: _top(q, p, k), schema)
-
-    low = F.lit(float("-inf"))
-    first = stored(search(queries.select("vec_id", "vec", "dim", low.alias("floor"), F.col("home").alias("shard"), "block")))
-    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", F.col("kth").cast("double").alias("floor"))
-    known = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").select("vec_id", "vec", "dim", "home", "block", F.coalesce("floor", low).alias("floor"))
-    others = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
-    found = first.unionByName(search(others)).dropDuplicates()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return asking.groupBy("shard", "block").cogroup(trees.groupBy("t_shard", "t_block")).applyInPandas(lambda q, t: _top(q, t, k), "query_id long, vec_id long, score long")
 
+    low, met = F.lit(float("-inf")), 1
+    found = stored(search(queries.withColumns({"floor": low, "shard": F.col("home")})))
+    for share in WAVES:
+        upto = shards if share == 1.0 else min(shards, max(met, round(share * shards)))
+        if upto == met:
+            continue
+        floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", F.col("kth").cast("double").alias("floor"))
+        known = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").withColumn("floor", F.coalesce("floor", low)).drop("query_id")
+        asking = known.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(met), F.lit(upto - 1)), lambda x: F.pmod(F.col("home") + x, F.lit(shards)))))
+        best = _best(found.unionByName(search(asking)).dropDuplicates(), k)
+        if upto == shards:
+            return best
+        found, met = stored(best.drop("rank")), upto
+    return _best(found.dropDuplicates(), k)

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusmill.llm import topk
 from corpusmill.llm.queries import op3_topk
 from corpusmill.llm.sql import ORACLE_SQL
 from corpusmill.llm.topk import BallTree, top_k
@@ -66,3 +67,18 @@ def test_empty(spark):
     assert run(spark, [(1, [1.0])]) == []
     df = spark.createDataFrame([], SCHEMA)
     assert top_k(df, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(0, 450, 3)]
+    assert run(spark, rows + rows[::2] + rows[:5] + [(None, rows[0][1])] * 3) == brute_force(rows, 10)
+
+
+def test_waves_do_not_matter(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(size=5)]) for i in range(0, 600, 4)]
+    want = brute_force(rows, 10)
+    for waves in ((1.0,), (0.5, 1.0), (0.1, 0.4, 1.0)):
+        monkeypatch.setattr(topk, "WAVES", waves)
+        assert run(spark, rows, shard_rows=8) == want
