@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that one numpy pass takes; its arrays of eight bytes a character then stay near 16 MB each.
 SLICE_BYTES = 2 << 20
+#: Bytes of text whose words are hashed at once; its arrays then fit a core's cache.
+HASH_BYTES = 1 << 18
 #: Bytes of a batch between the JVM and Python. Either side holds several copies of it, and texts can be long.
 BATCH_BYTES = "4m"
 
@@ -103,6 +107,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release_memory() -> None:
+    """Gives memory that is free back to the system: a worker process lives through many stages and shares its executor's bound."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def batch_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -162,7 +181,7 @@ class WordHasher:
 
     def _reach(self, n: int) -> None:
         if len(self.powers) < n:
-            n = max(n, 2 * len(self.powers), 1 << 19)
+            n = max(n, 2 * len(self.powers), HASH_BYTES + 1)
             up, down = np.full(n, self.base), np.full(n, self.inverse)
             up[0] = down[0] = 1
             self.powers, self.backward = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -183,8 +202,38 @@ class WordHasher:
         lengths = np.diff(np.append(so_far[starts] - 1, so_far[-1] if len(so_far) else 0))
         return starts, lengths, np.searchsorted(starts, offsets)
 
-    def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """spans(), and the words' hashes before them."""
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+        """Ranges of about limit bytes that no word crosses; a longer one only for a longer word."""
+        low, n = 0, len(data)
+        while low < n:
+            high = low + limit
+            if high >= n:
+                high = n
+            else:
+                gaps = np.flatnonzero(~self.inside[data[low + 1 : high + 1]])
+                edge = offsets[np.searchsorted(offsets, high, "right") - 1]
+                if len(gaps) or edge > low:
+                    high = max(low + 1 + int(gaps[-1]) if len(gaps) else 0, int(edge))
+                else:
+                    rest = ~self.inside[data[high:]]
+                    gap = high + int(rest.argmax()) if rest.any() else n
+                    high = min(gap, int(offsets[np.searchsorted(offsets, high, "right")]))
+            yield low, high
+            low = high
+
+    def hashes(self, data: np.ndarray, offsets: np.ndarray, limit: int = HASH_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """spans(), and the words' hashes before them. Arrays of eight bytes a character are held for some limit bytes only."""
+        if len(data) <= limit:
+            return self._hashes(data, offsets)
+        parts = []
+        for low, high in self._cuts(data, offsets, limit):
+            inner = offsets[np.searchsorted(offsets, low, "right") : np.searchsorted(offsets, high)] - low
+            words, starts, lengths, _ = self._hashes(data[low:high], np.concatenate([[0], inner, [high - low]]))
+            parts.append((words, starts + low, lengths))
+        words, starts, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return words, starts, lengths, np.searchsorted(starts, offsets)
+
+    def _hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts, lengths, first = self.spans(data, offsets)
         self._reach(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)

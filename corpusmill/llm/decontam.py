@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_batches, golden, grams, mixed, slices, text_bytes
+from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_batches, golden, grams, mixed, release_memory, slices, text_bytes
 
 #: A window contains an item if their edit distance in words is at most this share of the item's words.
 MAX_SHARE = 0.2
@@ -24,6 +24,8 @@ MIN_WORDS, EVIDENCE_CHARS = 8, 20
 REPEATS, SAMPLES = 40, 3
 #: Items and bytes of item text that go to the executors at once; a larger benchmark takes several passes.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
+#: Pairs of windows and items whose edit distances are taken at once.
+EDIT_PAIRS = 512
 _OUTSIDE = np.uint64(0)
 
 
@@ -232,14 +234,15 @@ class Matcher:
                             candidates[place] = min(candidates.get(place, w), w)
                 if not candidates:
                     continue
-                pairs = np.array(sorted((w, i) for (_, _, i), w in candidates.items()))
-                at, own = starts[low + pairs[:, 0], None] + np.arange(-4 * k, n + 4 * k), of[pairs[:, 0]]
-                within = (at >= first[:-1][own][:, None]) & (at < first[1:][own][:, None])
-                distance = edit_distances(rows[pairs[:, 1]], np.where(within, words[np.clip(at, 0, base - 1)], _OUTSIDE))
-                for (w, i), d in zip(pairs[distance <= k], distance[distance <= k], strict=True):
-                    key, made = (int(of[w]), int(names[i])), (int(d), n, int(starts[low + w] - first[of[w]]))
-                    if key not in best or made < best[key]:
-                        best[key] = made
+                every = np.array(sorted((w, i) for (_, _, i), w in candidates.items()))
+                for pairs in np.array_split(every, -(-len(every) // EDIT_PAIRS)):
+                    at, own = starts[low + pairs[:, 0], None] + np.arange(-4 * k, n + 4 * k), of[pairs[:, 0]]
+                    within = (at >= first[:-1][own][:, None]) & (at < first[1:][own][:, None])
+                    distance = edit_distances(rows[pairs[:, 1]], np.where(within, words[np.clip(at, 0, base - 1)], _OUTSIDE))
+                    for (w, i), d in zip(pairs[distance <= k], distance[distance <= k], strict=True):
+                        key, made = (int(of[w]), int(names[i])), (int(d), n, int(starts[low + w] - first[of[w]]))
+                        if key not in best or made < best[key]:
+                            best[key] = made
         return [(*key, *value) for key, value in sorted(best.items())]
 
 
@@ -293,6 +296,7 @@ def _hits(matcher: Matcher):
     def hit(texts: pa.Array) -> pa.Array:
         found = np.zeros(len(texts), bool)
         found[[row[0] for row in matcher.find(texts)]] = True
+        release_memory()
         return pa.array(found)
 
     return hit

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import BLANKS, GOLDEN, WordHasher, batch_column, bounded_batches, golden, grams, mixed, signed, slices, stored, text_bytes
+from corpusmill.llm.common import BLANKS, GOLDEN, WordHasher, batch_column, bounded_batches, golden, grams, mixed, release_memory, signed, slices, stored, text_bytes
 from corpusmill.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -126,6 +126,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums.append(signed(so_far[ends] - so_far[ends - sizes]))
             flat = pa.array(signed(np.ascontiguousarray(keys[sizes > 0])).reshape(-1))
             places = pa.array(np.append(0, np.cumsum((sizes > 0) * BANDS)).astype(np.int32))
+            release_memory()
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.ListArray.from_arrays(places, flat), *(pa.array(np.ascontiguousarray(x)) for x in bits.T)], ["doc_id", "n_shingles", "h1", "h2", "keys", *_BITS])
 
 
@@ -149,6 +150,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
             both[:, i] = same, len(own) + len(other) - same
         yield pa.RecordBatch.from_arrays([batch_column(batch, "a"), batch_column(batch, "b"), *map(pa.array, both)], ["a", "b", "common", "union"])
+        release_memory()
 
 
 def _salt(by: Column) -> Column:

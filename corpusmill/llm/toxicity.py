@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_batches, crc_fold, mixed, slices, text_bytes
+from corpusmill.llm.common import NOT_ALNUM, WordHasher, batch_column, bounded_batches, crc_fold, mixed, release_memory, slices, text_bytes
 from corpusmill.llm.labelled import training_texts
 
 #: Words of a window; in training, words from one to the next; state size; widths of the word and character inputs; their hash buckets.
@@ -385,6 +385,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING
 def _scores(model: Network, texts: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(texts)
     parts = [score_words(model, read_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in slices(offsets, SCORE_BYTES)]
+    release_memory()
     return np.round(np.concatenate([np.zeros(0), *parts]), DIGITS)
 
 
