@@ -138,17 +138,23 @@ def _check_size(vocab_size: int) -> int:
 
 
 def independent(pairs: Iterable[tuple[int, int]]) -> int:
-    """How many pairs, best first, can be merged in one round as if one by one: up to the first that has an id with an earlier one.
+    """How many pairs, best first, can be merged in one round as if one by one: up to the first that has an id with an earlier one,
+    or that is an id twice.
 
-    Merging a pair changes no count of pairs that share no id with it. A pair that it makes new counts no more than some pair that
-    shares an id with it did; that one comes later in the order than those taken, and so does the new pair, as its id is the highest.
+    Merging a pair changes no count of pairs that share no id with it. A pair that it makes new counts no more than some other pair
+    that shares an id with it did; that one comes later in the order than those taken, and so does the new pair, as its id is the
+    highest. Only of an id twice can the new pairs count more than any other pair did: runs of the id make them. It comes last.
     """
     used: set[int] = set()
-    for k, pair in enumerate(pairs):
+    k = 0
+    for pair in pairs:
         if not used.isdisjoint(pair):
-            return k
+            break
         used.update(pair)
-    return len(list(pairs))
+        k += 1
+        if pair[0] == pair[1]:
+            break
+    return k
 
 
 def train_rounds(words: DataFrame, vocab_size: int, checkpoint_every: int = 8) -> BpeModel:

@@ -5,7 +5,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -64,8 +64,9 @@ def test_heap_equals_brute_force(counts):
     assert of(bpe.train_heap(list(counts.items()), 276)) == brute_force(list(counts.items()), 276)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.dictionaries(st.text("abcd", min_size=1, max_size=7), st.integers(1, 4), max_size=14))
+@settings(max_examples=1500, deadline=None)
+@given(st.dictionaries(st.text("abcd", min_size=1, max_size=9), st.integers(1, 4), max_size=14))
+@example({"aa": 1, "bbbbbb": 1})
 def test_independent_pairs_merge_as_one_by_one(counts):
     """The plan of train_rounds() on lists: several merges a round, many ties."""
     words, merges = [(list(w.encode()), n) for w, n in counts.items()], []
