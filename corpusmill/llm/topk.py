@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import stored
+from corpusmill.llm.common import discard, stored
 
-#: Rows of a shard and queries of a block on average, shards at least. One task holds one tree and one block.
-SHARD_ROWS, MIN_SHARDS, QUERY_BLOCK = 32_768, 16, 32_768
-#: Shares of the shards that a query has met after each wave but the first, which is its own shard.
+#: Rows of a shard and queries of a block on average. One task holds one tree and one block.
+SHARD_ROWS, QUERY_BLOCK = 32_768, 32_768
+#: Pivots at least and at most: what the driver and each task hold of them does not grow with the table.
+MIN_PIVOTS, MAX_PIVOTS = 16, 1024
+#: Shares of the pivots that a query has met after each wave but the first, which is its own shard.
 WAVES = (0.15, 1.0)
 LEAF_ROWS = 64
 #: Integer products are exact in doubles below this.
@@ -82,6 +85,60 @@ class BallTree:
         return scores, found
 
 
+class Pivots:
+    """Some of the vectors, by length: each vector belongs to the nearest one of its length. Vectors of a length that none has belong
+    to the group behind the last. Once the groups' radii are known they bound the scores of a query in each group."""
+
+    def __init__(self, vectors: list[list[float]]) -> None:
+        self.n, self.radius = len(vectors), np.full(len(vectors) + 1, np.inf)
+        lengths = np.array([len(v) for v in vectors], int)
+        self.of = {int(d): np.flatnonzero(lengths == d) for d in np.unique(lengths)}
+        self.center = {d: np.array([vectors[i] for i in own], float).reshape(len(own), d) for d, own in self.of.items()}
+
+    def nearest(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows with their group and how far apart from its pivot they lie."""
+        for frame in frames:
+            group, apart = np.full(len(frame), self.n), np.zeros(len(frame))
+            for dim, own in frame.groupby("dim").indices.items():
+                if dim not in self.center:
+                    continue
+                center, points = self.center[dim], np.array(frame["vec"].iloc[own].tolist(), float).reshape(len(own), dim)
+                best = ((center**2).sum(axis=1) - 2 * points @ center.T).argmin(axis=1)
+                group[own], apart[own] = self.of[dim][best], np.sqrt(((points - center[best]) ** 2).sum(axis=1))
+            yield frame.assign(near=group.astype(np.int32), apart=apart)
+
+    def worth(self, low: float, high: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """For each query those of its groups, from a share low to a share high of them by their bounds, in which its floor can be met.
+
+        A group has one place in a query's order in all waves: pivots are whole numbers, so that products are exact below EXACT.
+        Beyond it the groups' numbers are their order.
+        """
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                near: list[np.ndarray] = [np.array([self.n] if high == 1.0 else [], np.int32)] * len(frame)
+                for dim, own in frame.groupby("dim").indices.items():
+                    if dim not in self.center:
+                        continue
+                    groups, center = self.of[dim], self.center[dim]
+                    q, floor = np.array(frame["vec"].iloc[own].tolist(), float).reshape(len(own), dim), frame["floor"].to_numpy(float)[own]
+                    length, reach = np.sqrt((q**2).sum(axis=1))[:, None], self.radius[groups]
+                    bound = q @ center.T + length * reach
+                    slack = 1e-9 * (1 + length * (np.sqrt((center**2).sum(axis=1)) + reach))
+                    # A score that no long can say counts as the smallest one.
+                    open_ = (np.maximum(bound + slack, -(2.0**63)) >= floor[:, None]) & (reach >= 0)
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    large = dim * np.maximum(np.abs(q).max(axis=1, initial=0), np.abs(center).max(initial=0)) ** 2 >= EXACT
+                    order[large] = np.arange(len(groups))
+                    a, b = (round(x * len(groups)) for x in (low, high))
+                    for i, at in enumerate(own):
+                        mine = order[i, a:b]
+                        near[at] = groups[mine[open_[i, mine]]].astype(np.int32)
+                yield frame.assign(near=near)
+
+        return run
+
+
 def _plant(points: pd.DataFrame) -> pd.DataFrame:
     """shard, dim and the tree of each dimension's points of a shard, with their ids."""
     out = []
@@ -130,9 +187,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     of other lengths than the query's are no candidates. Of rows with one id and one vector the first counts once. Fewer than k
     candidates are all returned; an empty table gives no rows. Other columns are not read.
 
-    Rows are dealt to shards of some shard_rows by their ids, however alike the vectors are, and each shard's ball tree is built
+    Each vector belongs to the nearest of some pivots, drawn by a hash of their ids; which ones they are changes no result. Groups
+    of more than shard_rows, so also those of many copies, are dealt to several shards by their ids. Each shard's ball tree is built
     once and stored; queries are dealt to blocks of some query_block. Queries meet the shards in waves: first the one that they lie
-    in, then some others, then the rest. The kth score so far of all shards is the floor that the next wave's searches start from.
+    in, then those of the groups with the highest bounds, then the rest. The kth score so far of all shards is the floor that the next
+    wave's searches start from, and a query goes only to groups whose bound, from pivot and radius, reaches it.
     """
     kept = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("raw"), is_query.alias("asks"))
@@ -142,29 +201,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         .withColumn("dim", F.size("vec"))
         .dropDuplicates(["vec_id", "vec"])
     )
-    kept = stored(kept)
-    n_rows, n_queries = kept.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(MIN_SHARDS, -(-n_rows // shard_rows)), max(1, -(-n_queries // query_block))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    trees = stored(kept.select("vec_id", "vec", "dim", home.alias("shard")).groupBy("shard").applyInPandas(_plant, "t_shard long, t_dim int, tree binary"))
+    spark, plain = kept.sparkSession, stored(kept)
+    n_rows, n_queries = plain.agg(F.count("*"), F.count_if("asks")).first()
+    n_pivots, blocks = min(MAX_PIVOTS, max(MIN_PIVOTS, -(-n_rows // shard_rows))), max(1, -(-n_queries // query_block))
+    pivots = Pivots([r["vec"] for r in plain.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "vec").limit(n_pivots).select("vec").collect()])
+    near = stored(plain.mapInPandas(pivots.nearest, "vec_id long, asks boolean, vec array<double>, dim int, near int, apart double"))
+    discard(plain)
+    # One row for each pivot: its shards, and how far its vectors reach. A pivot without vectors reaches nothing.
+    rows, first = [], 0
+    pivots.radius[: pivots.n] = -1.0
+    for r in near.groupBy("near").agg(F.count("*").alias("n"), F.max("apart").alias("apart")).orderBy("near").collect():
+        parts = -(-r["n"] // shard_rows)
+        rows.append((r["near"], first, parts))
+        pivots.radius[r["near"]] = r["apart"] if r["near"] < pivots.n else np.inf
+        first += parts
+    places = F.broadcast(spark.createDataFrame(rows, "near int, first long, parts long"))
+    kept = near.join(places, "near").withColumn("home", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    trees = stored(kept.select("vec_id", "vec", "dim", F.col("home").alias("shard")).groupBy("shard").applyInPandas(_plant, "t_shard long, t_dim int, tree binary"))
     trees = trees.withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    queries = kept.where("asks").select("vec_id", "vec", "dim", home.alias("home"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(7)), F.lit(blocks)).alias("block"))
+    queries = kept.where("asks").select("vec_id", "vec", "dim", "home", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(7)), F.lit(blocks)).alias("block"))
 
     def search(asking: DataFrame) -> DataFrame:
         asking = asking.select("vec_id", "vec", "dim", "floor", F.col("shard").cast("long"), F.col("block").cast("long"))
         return asking.groupBy("shard", "block").cogroup(trees.groupBy("t_shard", "t_block")).applyInPandas(lambda q, t: _top(q, t, k), "query_id long, vec_id long, score long")
 
-    low, met = F.lit(float("-inf")), 1
+    low, met = F.lit(float("-inf")), 0.0
     found = stored(search(queries.withColumns({"floor": low, "shard": F.col("home")})))
     for share in WAVES:
-        upto = shards if share == 1.0 else min(shards, max(met, round(share * shards)))
-        if upto == met:
-            continue
         floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", F.col("kth").cast("double").alias("floor"))
         known = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").withColumn("floor", F.coalesce("floor", low)).drop("query_id")
-        asking = known.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(met), F.lit(upto - 1)), lambda x: F.pmod(F.col("home") + x, F.lit(shards)))))
-        best = _best(found.unionByName(search(asking)).dropDuplicates(), k)
-        if upto == shards:
+        reached = known.mapInPandas(pivots.worth(met, share), "vec_id long, vec array<double>, dim int, home long, block long, floor double, near array<int>")
+        sent = reached.withColumn("near", F.explode("near")).join(places, "near").withColumn("shard", F.explode(F.expr("sequence(first, first + parts - 1)"))).where("shard <> home")
+        best = _best(found.unionByName(search(sent)).dropDuplicates(), k)
+        if share == 1.0:
             return best
-        found, met = stored(best.drop("rank")), upto
+        found, met = stored(best.drop("rank")), share
     return _best(found.dropDuplicates(), k)

@@ -1,12 +1,13 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.llm import topk
 from corpusmill.llm.queries import op3_topk
 from corpusmill.llm.sql import ORACLE_SQL
-from corpusmill.llm.topk import BallTree, top_k
+from corpusmill.llm.topk import BallTree, Pivots, top_k
 from tests.helpers import spark_rows, sql_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
@@ -82,3 +83,29 @@ def test_waves_do_not_matter(spark, monkeypatch):
     for waves in ((1.0,), (0.5, 1.0), (0.1, 0.4, 1.0)):
         monkeypatch.setattr(topk, "WAVES", waves)
         assert run(spark, rows, shard_rows=8) == want
+
+
+def test_queries_go_only_where_their_floor_can_be_met():
+    rng = np.random.default_rng(7)
+    centers = np.floor(rng.normal(0, 300, (8, 6)))
+    points = pd.DataFrame({"vec": [list(np.floor(c + x)) for c in centers for x in rng.normal(0, 2, (50, 6))], "dim": 6})
+    pivots = Pivots([list(c) for c in centers] + [[1.0, 2.0]])
+    placed = next(pivots.nearest(iter([points])))
+    pivots.radius[:] = -1.0
+    for near, own in placed.groupby("near"):
+        pivots.radius[near] = own["apart"].max()
+    flat = np.array(points["vec"].tolist())
+    kth = np.sort(flat @ flat.T, axis=1)[:, -10]
+    asked = points.assign(floor=kth.astype(float))
+    met = [a + b for a, b in zip(*(list(map(list, next(pivots.worth(low, high)(iter([asked])))["near"])) for low, high in ((0.0, 0.15), (0.15, 1.0))), strict=True)]
+    for i, groups in enumerate(met):
+        assert set(placed["near"][flat @ flat[i] >= kth[i]]) <= set(groups)
+    assert np.mean([len(g) for g in met]) < 2
+    everywhere = asked.assign(floor=-np.inf)
+    both = [a + b for a, b in zip(*(list(map(list, next(pivots.worth(low, high)(iter([everywhere])))["near"])) for low, high in ((0.0, 0.15), (0.15, 1.0))), strict=True)]
+    assert all(sorted(g) == sorted(set(placed["near"])) for g in both)
+
+
+def test_copies_are_dealt_to_several_shards(spark):
+    rows = [(i, [2.0, -1.0]) for i in range(0, 300)] + [(i, [float(i), 1.0, 0.0]) for i in range(300, 330)] + [(i, [1.0, float(i % 7)]) for i in range(400, 560)]
+    assert run(spark, rows, shard_rows=20, query_block=2) == brute_force(rows, 10)
