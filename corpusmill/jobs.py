@@ -95,19 +95,20 @@ def validate(spark: SparkSession, english: str, hindi: str, n_english: int, n_hi
 
 
 def evaluate(spark: SparkSession, path: str, n_rows: int, lang: str, tokenizer: str, out: str) -> None:
-    """A report of tokens for each word and round-trip failures, as JSON."""
+    """A report of tokens for each word and round-trip failures, as indented JSON. Failures are numbered among the rows that were read."""
     schema = {"english": schemas.ENGLISH_DOC, "hindi": schemas.PLAIN_DOC}[lang]
     code = lang[:2]
     model = bpe.BpeModel.load(spark, tokenizer)
     docs = counts.select_docs(files.read_documents(spark, [path], schema, code), (code,), scored=("en",) if code == "en" else (), use="evaluation")
-    picked = files.head_rows(docs, "doc_id", n_rows).select("lang", "doc_id", clean_text(F.col("text")).alias("clean"))
+    picked = corpus.numbered(files.head_rows(docs, "doc_id", n_rows), "doc_id").select("lang", "index", clean_text(F.col("text")).alias("clean"))
     coded = picked.withColumn("ids", bpe.encode(F.col("clean"), model)).withColumn("decoded", bpe.decode(F.col("ids"), model))
     words = report.tokens_per_word(coded, F.col("clean"), F.size("ids"), ["lang"])
-    trips = report.round_trip(coded, "doc_id", F.col("clean"), F.col("decoded"), ["lang"])
-    shown = report.failure_examples(coded, "doc_id", "clean", "decoded").agg(F.collect_list(F.struct("index", "original", "decoded")).alias("failure_examples"))
+    trips = report.round_trip(coded, "index", F.col("clean"), F.col("decoded"), ["lang"])
+    shown = report.failure_examples(coded, "index", "clean", "decoded").agg(F.collect_list(F.struct("index", "original", "decoded")).alias("failure_examples"))
     full = trips.join(words.drop("n_docs"), "lang", "left").crossJoin(F.broadcast(shown))  # one row on the right
     metrics = F.struct(F.col("avg_tokens_per_word"), F.col("n_failures").alias("num_round_trip_failures")).alias("metrics")
-    full.select(F.lit(lang).alias("language"), F.col("n_docs").alias("num_samples"), metrics, "failure_examples").coalesce(1).write.mode("overwrite").json(out)
+    fields = F.struct(F.lit(lang).alias("language"), F.col("n_docs").alias("num_samples"), metrics, F.col("failure_examples"))
+    full.select(F.to_json(fields, {"pretty": "true"})).coalesce(1).write.mode("overwrite").text(out)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -58,3 +58,14 @@ def split_bounds(index: DataFrame, n_validation: int, ctx_len: int) -> DataFrame
     val = F.struct(F.lit("VAL").alias("split"), F.col("train_end").cast("long").alias("start_idx"), (F.col("total") - ctx_len - 1).alias("end_idx"))
     rows = found.select(F.explode(F.array(train, val)).alias("r")).select("r.*")
     return rows.select("split", "start_idx", F.greatest("start_idx", "end_idx").alias("end_idx"))
+
+
+def source_files(documents: DataFrame, source: str = "source") -> DataFrame:
+    """file_id, from 0 in the order of the sources, and source: one row for each file of the corpus."""
+    return documents.select(source).distinct().select((F.row_number().over(Window.orderBy(source)) - 1).alias("file_id"), source)
+
+
+def numbered(rows: DataFrame, key: str, name: str = "index") -> DataFrame:
+    """rows with their number from 0 in the order of a key of whole numbers."""
+    run = running_sum(rows.withColumn("_one", F.lit(1)), "_one", F.floor(F.col(key) / BLOCK_IDS), [key], name=name)
+    return run.drop("_one", f"{name}_pos")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialized
+
 ROPE_BASE = 10_000.0
 
 
@@ -46,6 +50,54 @@ def pick_token(probabilities: DataFrame, keys: list[str], token: str, draw: Colu
     return last.select(*keys, F.coalesce("_first", "_last").alias(token))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def next_token(logits: Column, draw: Column, k: int, temperature: float = 1.0) -> Column:
+    """The place in logits that draw, in [0, 1), falls on: top_k_softmax() and pick_token() within one row."""
+    first = F.lit(0).cast("int")
+
+    def picked(x: Column) -> Column:
+        kth, top = F.element_at(F.sort_array(x, asc=False), F.least(F.lit(k), F.size(x))), F.array_max(x)
+        return _once(F.struct(kth.alias("kth"), top.alias("top")), lambda b: _once(F.transform(x, lambda v: F.when(v >= b["kth"], F.exp(v - b["top"])).otherwise(0.0)), found))
+
+    def found(weights: Column) -> Column:
+        return _once(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w) * draw, lambda goal: reached(weights, goal))
+
+    def reached(weights: Column, goal: Column) -> Column:
+        """The number of places whose running sum does not exceed the goal; at most the last place that has a weight."""
+        state = F.struct(F.lit(0.0).alias("sum"), first.alias("n"), first.alias("at"), first.alias("last"))
+
+        def step(s: Column, w: Column) -> Column:
+            total = s["sum"] + w
+            return F.struct(total.alias("sum"), (s["n"] + 1).alias("n"), F.when(total <= goal, s["n"] + 1).otherwise(s["at"]).alias("at"), F.when(w > 0, s["n"]).otherwise(s["last"]).alias("last"))
+
+        return F.aggregate(weights, state, step, lambda s: F.least(s["at"], s["last"]))
+
+    return _once(F.transform(logits, lambda v: v.cast("double") / temperature), picked)
+
+
+def generate(prompts: DataFrame, model: Callable[[DataFrame, int], DataFrame], ctx_len: int, max_new: int, eos_id: int | None = None, cut_every: int = 16) -> DataFrame:
+    """prompts with their tokens continued by up to max_new tokens, never beyond ctx_len; the end mark stops a row and is not kept.
+
+    model(rows, step) gives the rows with a column next: the token after tokens, or null to stop. It may join, or score in Arrow
+    batches; what it gives for rows that are done is not read. Lineage is cut every cut_every steps.
+    """
+    columns = prompts.columns
+    rows = prompts.withColumn("_room", F.least(F.lit(max_new), F.lit(ctx_len) - F.size("tokens"))).withColumn("_live", F.lit(True))
+    for step in range(max_new):
+        scored = model(rows, step)
+        goes_on = F.col("_live") & (F.col("_room") > step) & F.col("next").isNotNull()
+        if eos_id is not None:
+            goes_on &= F.col("next") != eos_id
+        rows = scored.withColumn("_live", F.coalesce(goes_on, F.lit(False))).withColumn("tokens", F.when(F.col("_live"), F.array_append("tokens", F.col("next"))).otherwise(F.col("tokens"))).select(*columns, "_room", "_live")
+        if (step + 1) % cut_every == 0 and step + 1 < max_new:
+            rows = materialized(rows)
+    return rows.select(*columns)
+
+
 def token_loss(logits: Column, target: Column, ignored: int = -100) -> Column:
     """Negative log likelihood of the target's logit, null where the target is ignored."""
     top = F.array_max(logits).cast("double")
@@ -59,10 +111,14 @@ def cross_entropy(rows: DataFrame, logits: Column, target: Column) -> DataFrame:
     return loss.withColumn("perplexity", F.exp("loss"))
 
 
-def allowed_pairs(rows: DataFrame, window: str, segment: str, position: str) -> DataFrame:
-    """window, i and j: what each place may attend to, itself and earlier places of its segment. Windows are of bounded length."""
+def allowed_pairs(rows: DataFrame, window: str, segment: str, position: str, pad: str | None = None) -> DataFrame:
+    """window, i and j: what each place may attend to, itself and earlier places of its segment. Windows are of bounded length.
+
+    pad: a column that is true at padding, which no place may attend to.
+    """
     left = rows.select(F.col(window).alias("w"), F.col(segment).alias("s"), F.col(position).alias("i"))
-    right = rows.select(F.col(window).alias("w2"), F.col(segment).alias("s2"), F.col(position).alias("j"))
+    seen = rows.where(~F.col(pad)) if pad else rows
+    right = seen.select(F.col(window).alias("w2"), F.col(segment).alias("s2"), F.col(position).alias("j"))
     return left.join(right, (F.col("w") == F.col("w2")) & (F.col("s") == F.col("s2")) & (F.col("j") <= F.col("i"))).select(F.col("w").alias(window), "i", "j")
 
 
@@ -70,10 +126,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def attention_weights(rows: DataFrame, window: str, segment: str, position: str, vector: str, dim: int) -> DataFrame:
+def attention_weights(rows: DataFrame, window: str, segment: str, position: str, vector: str, dim: int, pad: str | None = None) -> DataFrame:
     """window, i, j and weight: the softmax of scaled products over the allowed pairs."""
     vectors = rows.select(F.col(window).alias("vw"), F.col(position).alias("vp"), F.col(vector).alias("v"))
-    pairs = allowed_pairs(rows, window, segment, position)
+    pairs = allowed_pairs(rows, window, segment, position, pad)
     q = vectors.select(F.col("vw").alias("qw"), F.col("vp").alias("qp"), F.col("v").alias("q"))
     k = vectors.select(F.col("vw").alias("kw"), F.col("vp").alias("kp"), F.col("v").alias("k"))
     met = pairs.join(q, (F.col(window) == F.col("qw")) & (F.col("i") == F.col("qp"))).join(k, (F.col(window) == F.col("kw")) & (F.col("j") == F.col("kp")))

@@ -68,6 +68,18 @@ def packed_windows(starts: DataFrame, index: DataFrame, tokens: DataFrame, ctx_l
     return shifted.withColumn("segment_ids", segment_ids(F.col("input_tokens"), eos_id)).withColumn("position_ids", position_ids(F.col("segment_ids")))
 
 
+def window_batches(windows: DataFrame, batch_size: int, drop_last: bool = False) -> DataFrame:
+    """split, batch_id, n_windows, and window_id and the four arrays of packed windows, each as an array in the order of window_id.
+
+    Windows are numbered in their split already, so that only those of one batch meet.
+    """
+    arrays = [c for c in ("window_id", "input_tokens", "output_tokens", "segment_ids", "position_ids") if c in windows.columns]
+    grouped = windows.withColumn("batch_id", F.floor(F.col("window_id") / batch_size)).groupBy("split", "batch_id").agg(F.array_sort(F.collect_list(F.struct(*arrays))).alias("w"))
+    if drop_last:
+        grouped = grouped.where(F.size("w") == batch_size)
+    return grouped.select("split", "batch_id", F.size("w").alias("n_windows"), *(F.col(f"w.{c}").alias(c) for c in arrays))
+
+
 def token_blocks(tokens: Column, size: int) -> Column:
     """part_no, from 0, and block of each size tokens; the last block may be shorter. tokens must not be empty."""
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / size)), lambda k: F.struct(k.alias("part_no"), F.slice(tokens, (k * size).cast("int") + 1, size).alias("block")))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.order import shuffle_key
-from corpusmill.functions.text import clean_text, last_answer, nfc, pretokens, prompt, replace_names, word_count
+from corpusmill.functions.text import clean_text, last_answer, nfc, pretokens, prompt, replace_names, stem, word_count
 from corpusmill.operators import bpe, chat, corpus, counts, kernels, report, sft, windows
 from corpusmill.session import materialized, table
+from corpusmill.sources import files, tokens
 
 LANGUAGES = ("en", "fr", "de", "es")
 #: Ids of a model without merges: 256 bytes, then these.
@@ -26,6 +27,9 @@ SFT_CTX, N_VALIDATION_CHATS, BATCH = 4096, 10, 4
 N_SOURCES, N_CHECKED = 5, 10
 ROPE_LEN, ROPE_DIM = 256, 64
 ATTENTION_WINDOW, ATTENTION_SEGMENT, TOP_K, TEMPERATURE = 32, 8, 5, 0.7
+#: Rows of a scan's batch; rows of an evaluation; windows of a batch; places at the end of a window that are padding.
+SCAN_ROWS, N_EVALUATED, WINDOW_BATCH, ATTENTION_PADS = 10_000, 500, 8, 5
+GENERATION_CTX, MAX_NEW, STOP_TOKEN = 8, 6, 0
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,6 +214,40 @@ def segment_position_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf).select("window_id", "split", _joined(F.col("segment_ids")).alias("segment_ids"), _joined(F.col("position_ids")).alias("position_ids"))
 
 
+def window_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of packed windows; a last one that is not full is dropped."""
+    made = windows.window_batches(_packed(spark, sf), WINDOW_BATCH, drop_last=True)
+    text = lambda c: F.array_join(F.transform(c, _joined), "|")
+    return made.select("split", "batch_id", F.element_at("window_id", 1).alias("first_window"), "n_windows", text(F.col("input_tokens")).alias("input_tokens"), text(F.col("output_tokens")).alias("output_tokens"))
+
+
+def scan_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return files.scan_sizes(spark, [f"{sf}/documents.parquet"], SCAN_ROWS).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("n_batches"), F.lit(0)).alias("n_batches"))
+
+
+def source_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The file of each document, by number and name."""
+    docs = table(spark, sf, "documents")
+    return docs.join(corpus.source_files(docs), "source").select("doc_id", "file_id", stem(F.col("source")).alias("name"))
+
+
+def store_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    made = tokens.store_metadata(corpus.doc_offsets(_lengths(spark, sf)))
+    return made.select("source", "total_tokens", F.array_join(F.transform("documents", lambda d: F.concat_ws(":", d["offset"].cast("string"), d["length"].cast("string"))), ",").alias("documents"))
+
+
+def flat_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """What each document takes in a flat file."""
+    packed = tokens.packed_bytes(_byte_docs(spark, sf))
+    return packed.select(F.col("id").alias("doc_id"), F.octet_length("raw").alias("n_bytes"), F.md5(F.hex("raw").cast("binary")).alias("hex_md5"))
+
+
+def evaluation_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The first selected documents with their numbers: the rows of an evaluation, whose number is its parameter."""
+    picked = files.head_rows(counts.select_docs(table(spark, sf, "documents"), LANGUAGES, use="evaluation"), "doc_id", N_EVALUATED)
+    return corpus.numbered(picked, "doc_id").select("index", "doc_id", clean_text(F.col("text")).alias("clean"))
+
+
 def _chat_tokens(spark: SparkSession, sf: str) -> DataFrame:
     chats = chat.render_conversations(table(spark, sf, "conversations")).select("conv_id", clean_text(F.col("chat")).alias("chat"))
     return chats.select("conv_id", F.array_append(bpe.byte_tokens(F.col("chat"), BYTE_SPECIALS), F.lit(256)).alias("tokens"))
@@ -354,6 +392,26 @@ def attention_mask(spark: SparkSession, sf: str) -> DataFrame:
     return kernels.allowed_pairs(_sequences(spark, sf), "seq", "segment", "p")
 
 
+def attention_pad_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """The mask where the last places of each window are padding."""
+    padded = _sequences(spark, sf).withColumn("pad", F.col("p") >= ATTENTION_WINDOW - ATTENTION_PADS)
+    return kernels.allowed_pairs(padded, "seq", "segment", "p", "pad")
+
+
+def generated_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Generation with a model of one vector a row: the logits are the vector, turned by the last token."""
+
+    def model(rows: DataFrame, step: int) -> DataFrame:
+        last = F.element_at("tokens", -1)
+        turned = F.concat(F.slice("embedding", last + 1, ROPE_DIM), F.slice("embedding", F.lit(1), last))
+        draw = F.conv(F.substring(shuffle_key(F.col("vec_id"), step), 1, 8), 16, 10).cast("double") / 4294967296.0
+        return rows.withColumn("next", kernels.next_token(turned, draw, TOP_K, TEMPERATURE))
+
+    prompts = table(spark, sf, "embeddings").select("vec_id", "embedding", F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 5).cast("int")), lambda i: ((F.col("vec_id") + 7 * i) % ROPE_DIM).cast("int")).alias("tokens"))
+    made = kernels.generate(prompts, model, GENERATION_CTX, MAX_NEW, STOP_TOKEN)
+    return made.select("vec_id", F.size("tokens").alias("n_tokens"), _joined(F.col("tokens")).alias("tokens"))
+
+
 def attention_weights(spark: SparkSession, sf: str) -> DataFrame:
     made = kernels.attention_weights(_sequences(spark, sf), "seq", "segment", "p", "embedding", ROPE_DIM)
     return made.select("seq", "i", "j", F.round("weight", 6).alias("weight"))
@@ -373,6 +431,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         window_asof_doc, window_doc_overlap, packed_windows, segment_position_ids, chat_byte_tokens, sft_offsets, sft_split, sft_loss_mask,
         sft_assistant_mask, padded_batches, bpe_merges, bpe_merges_heap, bpe_merges_decomposed, bpe_full_merges, bpe_full_tokens_per_word, bpe_vocab, bpe_encode_words, bpe_doc_tokens, bpe_decode, tokens_per_word, round_trip,
         stored_validation, rope_table, rope_rotate, softmax_top_k, sampled_token, masked_cross_entropy, attention_mask, attention_weights,
-        clipped_vectors,
+        clipped_vectors, window_batches, scan_batches, source_files, store_metadata, flat_bytes, evaluation_sample, attention_pad_mask, generated_tokens,
     )
 }

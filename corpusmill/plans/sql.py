@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusmill.plans.bpe_sql import CLEAN, DOCS, IDS, TOKENS, WORDS, rounds
-from corpusmill.plans.queries import ATTENTION_SEGMENT, ATTENTION_WINDOW, BATCH, CTX_LEN, DECOMPOSED, MERGE_ROUNDS, N_CHECKED, NAMES, N_SOURCES, N_VALIDATION_CHATS, N_VALIDATION_DOCS, PAD_ID, ROPE_DIM, ROPE_LEN, SFT_CTX, TEMPERATURE, TOP_K
+from corpusmill.plans.queries import ATTENTION_PADS, ATTENTION_SEGMENT, ATTENTION_WINDOW, BATCH, CTX_LEN, DECOMPOSED, GENERATION_CTX, MAX_NEW, MERGE_ROUNDS, N_CHECKED, N_EVALUATED, NAMES, N_SOURCES, N_VALIDATION_CHATS, N_VALIDATION_DOCS, PAD_ID, ROPE_DIM, ROPE_LEN, SCAN_ROWS, SFT_CTX, STOP_TOKEN, TEMPERATURE, TOP_K, WINDOW_BATCH
 
 _BASE = f"WITH {DOCS}, {TOKENS}, {WORDS}"
 _PAIRS = f"SELECT word, n, t[i]::INTEGER AS l, t[i + 1]::INTEGER AS r FROM (SELECT word, n, t, unnest(range(1, len(t))) AS i FROM (SELECT word, n, string_split(trim({IDS}, ','), ',,') AS t FROM words))"
@@ -78,7 +78,28 @@ named AS (SELECT conv_id, mark, [{', '.join(f"'{n}'" for n in NAMES)}][((('0x' |
 pieces AS (SELECT conv_id, unnest(range(1, len(g) + 1)) AS i, unnest(g) AS gap, unnest(list_concat(m, [''])) AS mark FROM (SELECT conv_id, regexp_split_to_array(chat, 'NAME_[0-9]+') AS g, regexp_extract_all(chat, 'NAME_[0-9]+') AS m FROM rendered))
 SELECT conv_id, string_agg(gap || coalesce(name, ''), '' ORDER BY i) AS chat FROM pieces LEFT JOIN named USING (conv_id, mark) GROUP BY conv_id"""
 
+# One token after another: the logits are the vector from the last token's place on, the running sums reach the draw or the last place counts.
+_GENERATED = f"""WITH RECURSIVE grown AS (
+  SELECT vec_id, 0 AS step, list_transform(range(0, vec_id % 5 + 1), lambda i: (vec_id + 7 * i) % {ROPE_DIM}) AS t, least({MAX_NEW}, {GENERATION_CTX} - (vec_id % 5 + 1)) AS room FROM embeddings
+  UNION ALL
+  SELECT vec_id, step + 1, list_append(t, token), room FROM (
+    SELECT vec_id, step, t, room, coalesce(list_filter(range(0, {ROPE_DIM}), lambda i: list_sum(w[1:i + 1]) > list_sum(w) * draw)[1], list_filter(range(0, {ROPE_DIM}), lambda i: w[i + 1] > 0)[-1]) AS token FROM (
+      SELECT vec_id, step, t, room, draw, list_transform(x, lambda v: CASE WHEN v >= list_reverse_sort(x)[{TOP_K}] THEN exp(v - list_max(x)) ELSE 0::DOUBLE END) AS w FROM (
+        SELECT vec_id, step, t, room, ('0x' || substr(md5(step::VARCHAR || ':' || vec_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw,
+          list_transform(list_concat(embedding[t[-1] + 1:], embedding[:t[-1]]), lambda v: v::DOUBLE / {TEMPERATURE}) AS x FROM grown JOIN embeddings USING (vec_id) WHERE step < room)))
+  WHERE token <> {STOP_TOKEN})
+SELECT vec_id, len(arg_max(t, step))::INTEGER AS n_tokens, list_aggregate(arg_max(t, step), 'string_agg', ' ') AS tokens FROM grown GROUP BY vec_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "window_batches": f"""{_PACKED} SELECT split, window_id // {WINDOW_BATCH} AS batch_id, min(window_id) AS first_window, count(*)::INTEGER AS n_windows,
+string_agg({_TEXT.format('a')}, '|' ORDER BY window_id) AS input_tokens, string_agg({_TEXT.format('b')}, '|' ORDER BY window_id) AS output_tokens FROM shifted GROUP BY split, window_id // {WINDOW_BATCH} HAVING count(*) = {WINDOW_BATCH}""",
+    "scan_batches": f"SELECT count(*) AS n_rows, (count(*) + {SCAN_ROWS - 1}) // {SCAN_ROWS} AS n_batches FROM documents",
+    "source_files": "SELECT doc_id, (dense_rank() OVER (ORDER BY source) - 1)::INTEGER AS file_id, string_split(list_last(string_split(source, '/')), '.')[1] AS name FROM documents WHERE source IS NOT NULL",
+    "store_metadata": f"WITH {_LENGTHS}, {_LOCAL} SELECT source, sum(length)::BIGINT AS total_tokens, string_agg(\"offset\" || ':' || length, ',' ORDER BY \"offset\", doc_id) AS documents FROM locals GROUP BY source",
+    "flat_bytes": f"WITH {DOCS} SELECT doc_id, (2 * (octet_length(encode(clean)) + 1))::INTEGER AS n_bytes, md5(regexp_replace(hex(encode(clean)), '(..)', '\\100', 'g') || '0001') AS hex_md5 FROM docs",
+    "evaluation_sample": f"SELECT row_number() OVER (ORDER BY doc_id) - 1 AS \"index\", doc_id, {CLEAN} AS clean FROM (SELECT * FROM documents WHERE length(text) >= 100 ORDER BY doc_id LIMIT {N_EVALUATED})",
+    "attention_pad_mask": f"WITH {_SEQS}, {_ALLOWED} SELECT seq, i, j FROM allowed WHERE j < {ATTENTION_WINDOW - ATTENTION_PADS}",
+    "generated_tokens": _GENERATED,
     "score_filter": """WITH s AS (SELECT doc_id, lang, text, CASE WHEN n_chars % 7 <> 0 THEN n_chars % 100 / 100::DOUBLE END AS language_score FROM documents)
 SELECT doc_id, lang, language_score FROM s WHERE length(text) >= 100 AND (lang <> 'en' OR language_score > 0.85)""",
     "names_replaced": "WITH " + _NAMES.format(f"WITH {_CHATS.replace('FROM conversations', 'FROM marked')} SELECT conv_id, chat FROM chats"),

@@ -55,3 +55,9 @@ def read_json_lines(spark: SparkSession, folder: str, schema: T.StructType, recu
 def head_rows(docs: DataFrame, key: str, n: int) -> DataFrame:
     """The first n rows by the key."""
     return docs.orderBy(key).limit(n)
+
+
+def scan_sizes(spark: SparkSession, paths: list[str], batch_rows: int = 10_000) -> DataFrame:
+    """path, n_rows and n_batches of batch_rows for each Parquet file with rows. No column is read: the rows are counted by the footers."""
+    sizes = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count("*").alias("n_rows"))
+    return sizes.withColumn("n_batches", F.ceil(F.col("n_rows") / batch_rows))

@@ -50,7 +50,8 @@ def test_all_jobs(spark, folders):
     assert not any("NAME_" in c for c in chats)
     first = files.list_files(spark, path("en"))[0]
     jobs.evaluate(spark, first, 10, "english", path("tok"), path("report"))
-    report = spark.read.json(path("report")).first()
+    assert (spark.read.text(path("report")).collect()[1]["value"]).startswith("  ")
+    report = spark.read.json(path("report"), multiLine=True).first()
     assert report["num_samples"] == 10
     assert report["metrics"]["num_round_trip_failures"] == 0
 
@@ -73,6 +74,31 @@ def test_flat_tokens(spark):
     assert df.select(tokens.token_slice(F.col("tokens"), 1, 2).alias("t")).first()["t"] == [65535, 7]
 
 
+@pytest.mark.parametrize("file_tokens", [1 << 20, 7])
+def test_flat_files(spark, tmp_path, file_tokens):
+    rows = [("a/x.parquet", i, [(i * k) % 65536 for k in range(i % 5)]) for i in range(40)] + [("b/x.parquet", i, [i] * 3) for i in range(100, 110)] + [("c", 7, [65535])]
+    df = spark.createDataFrame(rows, "source string, doc_id long, tokens array<int>")
+    folder = "file://" + str(tmp_path / "flat")
+    listed = tokens.write_flat(df, folder, file_tokens)
+    assert not [f.name for f in (tmp_path / "flat").iterdir() if f.name.count(".") > 1]
+    streams = {s: [t for source, _, own in rows if source == s for t in own] for s in {r[0] for r in rows}}
+    got = {}
+    for r in tokens.read_flat(spark, folder, 5).orderBy("source", "start").collect():
+        assert len(got.setdefault(r["source"], [])) == r["start"]
+        assert len(r["tokens"]) == r["n"] <= 5
+        got[r["source"]] += r["tokens"]
+    assert got == streams
+    asked = spark.createDataFrame([("b/x.parquet", 3, 3), ("b/x.parquet", 4, 2), ("c", 0, 1)], "source string, start long, n long")
+    assert {(r["source"], r["start"]): r["tokens"] for r in tokens.flat_slices(asked, listed, folder).collect()} == {("b/x.parquet", 3): [101] * 3, ("b/x.parquet", 4): [101] * 2, ("c", 0): [65535]}
+    tokens.write_flat(df, folder, file_tokens)
+    assert tokens.read_flat(spark, folder).agg(F.sum("n")).first()[0] == sum(map(len, streams.values()))
+
+
+def test_scan_sizes(spark, folders):
+    sizes = files.scan_sizes(spark, files.list_files(spark, str(folders / "en")), 15).collect()
+    assert sorted((r["n_rows"], r["n_batches"]) for r in sizes) == [(20, 2)] * 3
+
+
 def test_stream_adds_up(spark, folders, tmp_path):
     stream = spark.readStream.schema("text string, language_score double").option("maxFilesPerTrigger", 1).parquet(str(folders / "en"))
     start_word_counts(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()

@@ -7,7 +7,7 @@ import pytest
 from corpusmill.plans.queries import QUERIES
 
 #: Queries whose operators have Arrow functions; all others stay in the JVM.
-WITH_PYTHON = {"bpe_doc_tokens", "bpe_decode", "tokens_per_word", "stored_validation", "bpe_full_tokens_per_word"}
+WITH_PYTHON = {"bpe_doc_tokens", "bpe_decode", "tokens_per_word", "stored_validation", "bpe_full_tokens_per_word", "flat_bytes"}
 
 
 def plan_of(df):
