@@ -14,8 +14,8 @@ from corpusmill.llm.common import discard, stored
 
 #: Rows of a shard and queries of a block on average. One task holds one tree and one block.
 SHARD_ROWS, QUERY_BLOCK = 32_768, 32_768
-#: Pivots at least and at most: what the driver and each task hold of them does not grow with the table.
-MIN_PIVOTS, MAX_PIVOTS = 16, 1024
+#: Pivots at most: what the driver and each task hold of them does not grow with the table.
+MAX_PIVOTS = 1024
 #: Shares of the pivots that a query has met after each wave but the first, which is its own shard.
 WAVES = (0.15, 1.0)
 LEAF_ROWS = 64
@@ -189,9 +189,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     Each vector belongs to the nearest of some pivots, drawn by a hash of their ids; which ones they are changes no result. Groups
     of more than shard_rows, so also those of many copies, are dealt to several shards by their ids. Each shard's ball tree is built
-    once and stored; queries are dealt to blocks of some query_block. Queries meet the shards in waves: first the one that they lie
-    in, then those of the groups with the highest bounds, then the rest. The kth score so far of all shards is the floor that the next
-    wave's searches start from, and a query goes only to groups whose bound, from pivot and radius, reaches it.
+    once and stored. Queries meet the shards in waves: first the one that they lie in, then those of the groups with the highest
+    bounds, then the rest. The kth score so far of all shards is the floor that the next wave's searches start from, and a query goes
+    only to groups whose bound, from pivot and radius, reaches it. The queries that a shard gets in a wave are dealt to blocks of some
+    query_block; its tree is sent once to each block, and nowhere without queries.
     """
     kept = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("raw"), is_query.alias("asks"))
@@ -202,8 +203,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         .dropDuplicates(["vec_id", "vec"])
     )
     spark, plain = kept.sparkSession, stored(kept)
-    n_rows, n_queries = plain.agg(F.count("*"), F.count_if("asks")).first()
-    n_pivots, blocks = min(MAX_PIVOTS, max(MIN_PIVOTS, -(-n_rows // shard_rows))), max(1, -(-n_queries // query_block))
+    n_pivots = min(MAX_PIVOTS, max(1, -(-plain.count() // shard_rows)))
     pivots = Pivots([r["vec"] for r in plain.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "vec").limit(n_pivots).select("vec").collect()])
     near = stored(plain.mapInPandas(pivots.nearest, "vec_id long, asks boolean, vec array<double>, dim int, near int, apart double"))
     discard(plain)
@@ -218,19 +218,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     places = F.broadcast(spark.createDataFrame(rows, "near int, first long, parts long"))
     kept = near.join(places, "near").withColumn("home", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     trees = stored(kept.select("vec_id", "vec", "dim", F.col("home").alias("shard")).groupBy("shard").applyInPandas(_plant, "t_shard long, t_dim int, tree binary"))
-    trees = trees.withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    queries = kept.where("asks").select("vec_id", "vec", "dim", "home", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(7)), F.lit(blocks)).alias("block"))
+    queries = kept.where("asks").select("vec_id", "vec", "dim", "home")
 
     def search(asking: DataFrame) -> DataFrame:
-        asking = asking.select("vec_id", "vec", "dim", "floor", F.col("shard").cast("long"), F.col("block").cast("long"))
-        return asking.groupBy("shard", "block").cogroup(trees.groupBy("t_shard", "t_block")).applyInPandas(lambda q, t: _top(q, t, k), "query_id long, vec_id long, score long")
+        """Each shard's tree goes to as many tasks as its own queries fill blocks, and to none without queries."""
+        blocks = stored(asking.groupBy("shard").count().select("shard", F.ceil(F.col("count") / query_block).alias("blocks")))
+        sent = asking.join(blocks, "shard").select("vec_id", "vec", "dim", "floor", "shard", F.pmod(F.xxhash64("vec_id", F.lit(7)), "blocks").alias("block"))
+        met = trees.join(blocks, F.col("t_shard") == F.col("shard")).select("t_shard", "t_dim", "tree", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("t_block"))
+        return sent.groupBy("shard", "block").cogroup(met.groupBy("t_shard", "t_block")).applyInPandas(lambda q, t: _top(q, t, k), "query_id long, vec_id long, score long")
 
     low, met = F.lit(float("-inf")), 0.0
-    found = stored(search(queries.withColumns({"floor": low, "shard": F.col("home")})))
+    found = search(queries.withColumns({"floor": low, "shard": F.col("home")}))
+    if first <= 1:
+        return _best(found, k)  # one shard: no query has another to meet
+    found = stored(found)
     for share in WAVES:
         floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", F.col("kth").cast("double").alias("floor"))
         known = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").withColumn("floor", F.coalesce("floor", low)).drop("query_id")
-        reached = known.mapInPandas(pivots.worth(met, share), "vec_id long, vec array<double>, dim int, home long, block long, floor double, near array<int>")
+        reached = stored(known.mapInPandas(pivots.worth(met, share), "vec_id long, vec array<double>, dim int, home long, floor double, near array<int>"))
         sent = reached.withColumn("near", F.explode("near")).join(places, "near").withColumn("shard", F.explode(F.expr("sequence(first, first + parts - 1)"))).where("shard <> home")
         best = _best(found.unionByName(search(sent)).dropDuplicates(), k)
         if share == 1.0:
