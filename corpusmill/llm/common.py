@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.session import spread
+
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that one numpy pass takes; its arrays of eight bytes a character then stay near 16 MB each.
 SLICE_BYTES = 2 << 20
@@ -26,7 +28,7 @@ BATCH_BYTES = "4m"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
