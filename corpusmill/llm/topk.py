@@ -218,7 +218,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     places = F.broadcast(spark.createDataFrame(rows, "near int, first long, parts long"))
     kept = near.join(places, "near").withColumn("home", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     trees = stored(kept.select("vec_id", "vec", "dim", F.col("home").alias("shard")).groupBy("shard").applyInPandas(_plant, "t_shard long, t_dim int, tree binary"))
-    queries = kept.where("asks").select("vec_id", "vec", "dim", "home")
+    queries = stored(kept.where("asks").select("vec_id", "vec", "dim", "home"))
 
     def search(asking: DataFrame) -> DataFrame:
         """Each shard's tree goes to as many tasks as its own queries fill blocks, and to none without queries."""
@@ -233,12 +233,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         return _best(found, k)  # one shard: no query has another to meet
     found = stored(found)
     for share in WAVES:
+        if share < 1.0 and all(round(met * len(g)) == round(share * len(g)) for g in pivots.of.values()):
+            continue  # so few groups that none is in this wave
         floors = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_id", F.col("kth").cast("double").alias("floor"))
         known = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").withColumn("floor", F.coalesce("floor", low)).drop("query_id")
         reached = stored(known.mapInPandas(pivots.worth(met, share), "vec_id long, vec array<double>, dim int, home long, floor double, near array<int>"))
         sent = reached.withColumn("near", F.explode("near")).join(places, "near").withColumn("shard", F.explode(F.expr("sequence(first, first + parts - 1)"))).where("shard <> home")
         best = _best(found.unionByName(search(sent)).dropDuplicates(), k)
         if share == 1.0:
-            return best
+            break
         found, met = stored(best.drop("rank")), share
-    return _best(found.dropDuplicates(), k)
+    return best

@@ -109,3 +109,17 @@ def test_queries_go_only_where_their_floor_can_be_met():
 def test_copies_are_dealt_to_several_shards(spark):
     rows = [(i, [2.0, -1.0]) for i in range(0, 300)] + [(i, [float(i), 1.0, 0.0]) for i in range(300, 330)] + [(i, [1.0, float(i % 7)]) for i in range(400, 560)]
     assert run(spark, rows, shard_rows=20, query_block=2) == brute_force(rows, 10)
+
+
+def test_queries_of_one_shard_fill_several_blocks(spark):
+    """A third of all rows ask, and all that ask lie together."""
+    rng = np.random.default_rng(8)
+    near = [(100 * i, [float(np.float32(x)) for x in rng.normal(40, 0.1, 4)]) for i in range(60)]
+    far = [(100 * i + 1, [float(np.float32(x)) for x in rng.normal(-40 * (i % 5), 5, 4)]) for i in range(120)]
+    assert run(spark, near + far, shard_rows=25, query_block=7) == brute_force(near + far, 10)
+
+
+def test_one_shard_needs_no_waves(spark, monkeypatch):
+    rows = [(i, [float(i % 13), 1.0]) for i in range(300)]
+    monkeypatch.setattr(topk, "WAVES", None)
+    assert run(spark, rows) == brute_force(rows, 10)
