@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.order import shuffle_key
+from corpusmill.session import materialized
 
 #: Ids of one block of a running sum within a source; hex digits of a block of the shuffled order.
 BLOCK_IDS, BLOCK_DIGITS = 65_536, 3
@@ -34,8 +35,11 @@ def doc_offsets(lengths: DataFrame) -> DataFrame:
 
 
 def shuffled_index(lengths: DataFrame, seed: int = 42) -> DataFrame:
-    """pos, doc_id, source, length, local_offset and global_offset of all documents in a seeded order."""
-    local = doc_offsets(lengths).withColumnRenamed("offset", "local_offset").withColumn("key", shuffle_key(F.col("doc_id"), seed))
+    """pos, doc_id, source, length, local_offset and global_offset of all documents in a seeded order.
+
+    Running sums read their rows twice, and lengths may cost a pass over all texts: both steps start from a written table.
+    """
+    local = materialized(doc_offsets(materialized(lengths)).withColumnRenamed("offset", "local_offset").withColumn("key", shuffle_key(F.col("doc_id"), seed)))
     run = running_sum(local, "length", F.substring("key", 1, BLOCK_DIGITS), ["key", "doc_id"], name="global_offset")
     return run.select(F.col("global_offset_pos").alias("pos"), "doc_id", "source", "length", "local_offset", "global_offset")
 

@@ -59,7 +59,8 @@ def packed_windows(starts: DataFrame, index: DataFrame, tokens: DataFrame, ctx_l
     """
     size = max(ctx_len, 1)
     place, last = F.col("part_no") * size, F.col("take_from") + F.col("take")
-    blocks = tokens.where(F.size("tokens") > 0).select("doc_id", F.explode(token_blocks(F.col("tokens"), size)).alias("b")).select("doc_id", F.col("b.part_no").alias("part_no"), F.col("b.block").alias("block"))
+    # No filter on tokens: it would be pushed below them and compute them twice.
+    blocks = tokens.select("doc_id", F.explode(token_blocks(F.col("tokens"), size)).alias("b")).select("doc_id", F.col("b.part_no").alias("part_no"), F.col("b.block").alias("block"))
     parts = spans(starts, index, ctx_len).withColumn("part_no", F.explode(_blocks(F.col("take_from"), last, size))).join(blocks, ["doc_id", "part_no"])
     low = F.greatest(F.col("take_from") - place, F.lit(0))
     cut = parts.select("window_id", "split", "start", F.struct("doc_offset", "part_no", F.slice("block", low.cast("int") + 1, (F.least(last - place, F.lit(size)) - low).cast("int")).alias("part")).alias("p"))
@@ -81,8 +82,8 @@ def window_batches(windows: DataFrame, batch_size: int, drop_last: bool = False)
 
 
 def token_blocks(tokens: Column, size: int) -> Column:
-    """part_no, from 0, and block of each size tokens; the last block may be shorter. tokens must not be empty."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / size)), lambda k: F.struct(k.alias("part_no"), F.slice(tokens, (k * size).cast("int") + 1, size).alias("block")))
+    """part_no, from 0, and block of each size tokens; the last block may be shorter. No tokens are one empty block."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(tokens) - 1) / size), F.lit(0))), lambda k: F.struct(k.alias("part_no"), F.slice(tokens, (k * size).cast("int") + 1, size).alias("block")))
 
 
 def _numbers(array: Column) -> Column:
