@@ -181,54 +181,59 @@ class Network:
         return pooled @ p["o"] + p["c"][0], {"memory": memory, "hidden": hidden, "weight": weight, "pooled": pooled, "x": x, "at": at} if keep else {}
 
     def sliding_gates(self, w: Words) -> np.ndarray:
-        """What slide() needs of each distinct word: direction, gate, word."""
+        """What slide() needs of each distinct word: gate, direction, word; and, as further gates, the state (as slide() keeps it)
+        after the word alone, the same for all windows that begin with it."""
         p, h = self.p, HIDDEN
         gates = np.matmul(self.inputs(w)[:-1][None], p["w"]) + p["b"]
+        scale = np.repeat(np.array([1, -1, -2], np.float32), h)
+        with np.errstate(over="ignore"):
+            first = 0.5 + (1 / (1 + np.exp(-2 * gates[..., 2 * h :])) - 0.5) / (1 + np.exp(gates[..., :h]))
         gates[..., : 2 * h] -= p["u"][:, :, : 2 * h].sum(axis=1, keepdims=True)
-        return np.ascontiguousarray((gates * np.repeat(np.array([1, -1, -2], np.float32), h)).transpose(0, 2, 1))
+        return np.ascontiguousarray(np.concatenate([gates * scale, first], axis=-1).transpose(2, 0, 1))
 
-    def slide(self, gates: np.ndarray) -> np.ndarray:
-        """Logits of the full windows from each word on, whatever texts they lie in: forward() with a column for each window.
+    def slide(self, gates: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Logits of the full windows from each of these words on, whatever texts they lie in: forward() with a column for each window.
 
         The words of all windows' step t are one stretch, so nothing is gathered; of a state only its energy and its part of the
-        output are kept. All is written with 1 / (1 + exp), half as dear as tanh: 1 - z is 1 / (1 + exp(x)), tanh(x) is
-        2 / (1 + exp(-2x)) - 1, and the state is kept as (1 + state) / 2, for which that is 1 / (1 + exp(-2x)).
+        output are kept. The backward direction reads the words from the last to the first, so that its step t is the same stretch and
+        both directions are one array: few calls, of arrays that a core's cache holds. All is written with 1 / (1 + exp), half as dear
+        as tanh: 1 - z is 1 / (1 + exp(x)), tanh(x) is 2 / (1 + exp(-2x)) - 1, and the state is kept as (1 + state) / 2, for which
+        that is 1 / (1 + exp(-2x)).
         """
-        p, h, n = self.p, HIDDEN, gates.shape[-1] - WINDOW + 1
-        scale = np.repeat(np.array([1, -1, -2], np.float32), h)[:, None]
-        energy, value = np.zeros((WINDOW, n), np.float32), np.zeros((WINDOW, n), np.float32)
+        p, h, n = self.p, HIDDEN, len(kind) - WINDOW + 1
+        own = np.empty((4 * h, 2, len(kind)), np.float32)
+        for d, order in enumerate((kind, kind[::-1])):
+            own[:, d] = np.take(gates[:, d], order, axis=1)
+        scale, both = np.repeat(np.array([1, -1, -2], np.float32), h)[:, None], []
         for d in range(2):
-            both = np.concatenate([p["u"][d].T * scale, p["a"][None, d * h : (d + 1) * h], p["o"][None, d * h : (d + 1) * h]])
+            rows = np.concatenate([p["u"][d].T * scale, p["a"][None, d * h : (d + 1) * h], p["o"][None, d * h : (d + 1) * h]])
             # Twice the half state less one: what the one takes off stands in the gates, or in a column for a row of ones.
-            off = -both.sum(axis=1, keepdims=True)
+            off = -rows.sum(axis=1, keepdims=True)
             off[: 2 * h] = 0
-            both = np.concatenate([2 * both, off], axis=1).astype(np.float32)
-            half, r = np.full((h + 1, n), 0.5, np.float32), np.empty((3 * h + 2, n), np.float32)
-            half[h] = 1
-            state = half[:h]
-            order = range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1)
-            before = None
-            for t in order:
-                np.matmul(both, half, out=r)
-                if before is not None:
-                    energy[before] += r[3 * h]
-                    value[before] += r[3 * h + 1]
-                g, zr, fresh = gates[d, :, t : t + n], r[: 2 * h], r[2 * h : 3 * h]
-                for x, own in ((zr, g[: 2 * h]), (fresh, g[2 * h :])):
-                    if x is fresh:
-                        x *= zr[h:]
-                    x += own
-                    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
-                        np.exp(x, out=x)
-                    x += 1
-                    np.reciprocal(x, out=x)
+            both.append(np.concatenate([2 * rows, off], axis=1).astype(np.float32))
+        half, r = np.ones((h + 1, 2, n), np.float32), np.empty((3 * h + 2, 2, n), np.float32)
+        half[:h] = own[3 * h :, :, :n]
+        state, zr, fresh = half[:h], r[: 2 * h], r[2 * h : 3 * h]
+        said = np.empty((WINDOW, 2, 2, n), np.float32)  # step, energy and value, direction, window
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+            for t in range(1, WINDOW):
+                for d in range(2):
+                    np.matmul(both[d], half[:, d], out=r[:, d])
+                said[t - 1] = r[3 * h :]
+                zr += own[: 2 * h, :, t : t + n]
+                np.exp(zr, out=zr)
+                zr += 1
+                fresh /= zr[h:]
+                fresh += own[2 * h : 3 * h, :, t : t + n]
+                np.exp(fresh, out=fresh)
+                fresh += 1
+                np.reciprocal(fresh, out=fresh)
                 fresh -= state
-                fresh *= zr[:h]
+                fresh /= zr[:h]
                 state += fresh
-                before = t
-            last = both[3 * h :] @ half
-            energy[before] += last[0]
-            value[before] += last[1]
+        for d in range(2):
+            said[-1, :, d] = both[d][3 * h :] @ half[:, d]
+        energy, value = (said[:, k, 0] + said[::-1, k, 1, ::-1] for k in range(2))
         energy -= energy.max(axis=0)
         np.exp(energy, out=energy)
         return np.einsum("tn,tn->n", energy, value) / energy.sum(axis=0) + p["c"][0]
@@ -304,7 +309,7 @@ def all_logits(model: Network, w: Words) -> tuple[np.ndarray, np.ndarray]:
         slid, gates = np.empty(len(w.kind), np.float32), model.sliding_gates(w)
         for a in range(0, len(w.kind) - WINDOW + 1, SCORE_WINDOWS):
             b = min(a + SCORE_WINDOWS + WINDOW - 1, len(w.kind))
-            slid[a : b - WINDOW + 1] = model.slide(np.take(gates, w.kind[a:b], axis=2))
+            slid[a : b - WINDOW + 1] = model.slide(gates, w.kind[a:b])
         out[rows] = slid[begin[rows]]
     return out, text
 

@@ -133,6 +133,34 @@ def test_sliding_scores_are_those_of_the_network():
     assert np.allclose(logits, model.forward(model.inputs(words), at)[0], atol=1e-4)
 
 
+def test_sliding_scores_of_saturated_gates():
+    """Where exp() overflows: gates that are fully open or shut."""
+    data, offsets = text_bytes(pa.array([" ".join(f"w{i % 7}" for i in range(100)), " ".join(f"v{i % 11}" for i in range(30))]))
+    words, model = toxicity.read_words(data, offsets), toxicity.Network(3)
+    model.p["word"] *= 1e5
+    at, _ = toxicity.windows(words)
+    logits, _ = toxicity.all_logits(model, words)
+    assert np.isfinite(logits).all()
+    assert np.allclose(logits, model.forward(model.inputs(words), at)[0], atol=1e-3)
+
+
+def test_sliding_takes_a_first_word_once(monkeypatch):
+    """What a window costs: the state after its first word is that of the distinct word, and only candidates need a reciprocal."""
+    data, offsets = text_bytes(pa.array([" ".join(f"w{i % 7}" for i in range(1000))]))
+    words, model, h = toxicity.read_words(data, offsets), toxicity.Network(3), toxicity.HIDDEN
+    sizes = {"exp": 0, "reciprocal": 0}
+    for name in sizes:
+
+        def counted(x, *args, name=name, own=getattr(np, name), **named):
+            sizes[name] += np.size(x)
+            return own(x, *args, **named)
+
+        monkeypatch.setattr(np, name, counted)
+    n, steps, distinct = len(toxicity.all_logits(model, words)[0]), toxicity.WINDOW - 1, len(words.bucket)
+    assert sizes["exp"] <= n * (steps * 2 * 3 * h + toxicity.WINDOW) + distinct * 2 * 2 * h
+    assert sizes["reciprocal"] <= n * steps * 2 * h
+
+
 def test_score_does_not_hang_on_the_words_before():
     """A long passage's own windows are all scored, wherever it begins, so a text scores no less than its passage."""
     rng = np.random.default_rng(0)
