@@ -25,6 +25,8 @@ SLICE_BYTES = 2 << 20
 HASH_BYTES = 1 << 18
 #: Bytes of a batch between the JVM and Python. Either side holds several copies of it, and texts can be long.
 BATCH_BYTES = "4m"
+#: Share of the driver's largest heap that may be in use or kept free before garbage is collected between plans.
+HEAP_SHARE = 0.4
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,10 +53,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return root
 
 
+def release_driver(spark: SparkSession) -> bool:
+    """Has the driver's JVM collect its garbage if more than HEAP_SHARE of its largest heap is in its hands, so that it gives the rest back:
+    a long row of plans lets the heap grow to its limit. Whether it did. Free memory of the driver's Python goes back in any case."""
+    release_memory()
+    java = spark._jvm.java.lang
+    runtime = java.Runtime.getRuntime()
+    if full := runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        java.System.gc()
+    return full
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, so lost executors cost no earlier stage.
 
-    The table is deleted by discard(), or when the driver's JVM ends.
+    The table is deleted by discard(), or when the driver's JVM ends. What the plan took of the driver is given back.
     """
     spark = bounded_batches(df).sparkSession
     path = f"{scratch_dir(spark)}/corpusmill-{uuid.uuid4().hex}"
@@ -63,6 +76,7 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     _SCRATCH[path] = weakref.ref(out)
+    release_driver(spark)
     return out
 
 

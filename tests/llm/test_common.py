@@ -1,3 +1,5 @@
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -53,3 +55,18 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         scratch_dir(Cluster())
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Between plans the heap is collected if it has grown beyond its share, and left alone else."""
+    java = spark._jvm.java.lang
+    monkeypatch.setattr(common, "HEAP_SHARE", 1)
+    assert not common.release_driver(spark)
+    monkeypatch.setattr(common, "HEAP_SHARE", 0)
+    garbage = java.ref.WeakReference(spark._jvm.java.util.ArrayList())
+    gc.collect()
+    table = common.stored(spark.range(10))
+    assert garbage.get() is None
+    assert common.release_driver(spark)
+    assert table.count() == 10
+    common.discard(table)
