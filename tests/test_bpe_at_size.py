@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import bpe
+from corpusmill.plans import queries
 from tests.test_bpe import CORPUS, MERGES, brute_force, of
 
 
@@ -40,3 +41,10 @@ def test_coding_in_slices(spark, monkeypatch, merges):
         assert r["d"] == (None if want is None else model.decode(want))
     odd = [[255, 65], [-1, 9999, 66], [None, 67]]
     assert [x["d"] for x in spark.createDataFrame([(x,) for x in odd], "ids array<int>").coalesce(1).select(bpe.decode(F.col("ids"), model).alias("d")).collect()] == ["�A", "B", "C"]
+
+
+def test_encoding_queries_train_in_one_task(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries, "_MODELS", {})
+    queries.QUERIES["bpe_vocab"](spark, sf_dir)
+    queries.QUERIES["bpe_doc_tokens"](spark, sf_dir)
+    assert [key[-1] for key in queries._MODELS] == [bpe.train]
